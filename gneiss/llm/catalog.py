@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .line_dedup import OP2_SQL, op2_line_dedup
 from .quality import op5_quality_rules
 from .sharding import OP8_SQL, op8_sharding
 from .simhash import op4_simhash
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op8_sharding": op8_sharding,
     "op10_exact_dedup": op10_exact_dedup,
 }
 SQL = {
+    "op2_line_dedup": OP2_SQL,
     "op8_sharding": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
