@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .html_extract import op9_html_extraction
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .quality import op5_quality_rules
 from .sharding import OP8_SQL, op8_sharding
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op8_sharding": op8_sharding,
+    "op9_html_extraction": op9_html_extraction,
     "op10_exact_dedup": op10_exact_dedup,
 }
 SQL = {
