@@ -7,11 +7,13 @@ from .html_extract import op9_html_extraction
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op3_packing
 from .quality import op5_quality_rules
+from .sentencepiece_sample import op1_sentencepiece
 from .sharding import OP8_SQL, op8_sharding
 from .simhash import op4_simhash
 from .warc import OP6_SQL, op6_warc_revisits
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
