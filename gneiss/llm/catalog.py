@@ -10,6 +10,7 @@ from .quality import op5_quality_rules
 from .sentencepiece_sample import op1_sentencepiece
 from .sharding import OP8_SQL, op8_sharding
 from .simhash import op4_simhash
+from .substring_dedup import OP7_SQL, op7_substring_dedup
 from .warc import OP6_SQL, op6_warc_revisits
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
     "op6_warc_revisits": op6_warc_revisits,
     "op9_html_extraction": op9_html_extraction,
@@ -26,6 +28,7 @@ QUERIES = {
 SQL = {
     "op2_line_dedup": OP2_SQL,
     "op6_warc_revisits": OP6_SQL,
+    "op7_substring_dedup": OP7_SQL,
     "op8_sharding": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
