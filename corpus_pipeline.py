@@ -1,5 +1,56 @@
-"""Stub."""
-STAGES = []
+"""The corpus pipeline: quality rules, line dedup, near-dedup, substring dedup and packing over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
+next stage's docs. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from gneiss.llm import line_dedup, packing, quality, simhash, substring_dedup
+from gneiss.llm.common import materialise, read_table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """The columns of documents, with n_chars as the length of the text as it is now."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go; the rest stay as they are."""
+    return quality.keep_good(docs.select(*COLUMNS), quality.train(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that three documents or more share stay in one document only."""
+    return _counted(line_dedup.dedup_lines(docs.select(*COLUMNS)))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return simhash.keep_first(docs.select(*COLUMNS))
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 13 words or more that a document with a smaller id has too go."""
+    return _counted(substring_dedup.dedup_substrings(docs.select(*COLUMNS)))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document in a length bucket and a batch."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality rules", quality_stage), ("line dedup", line_stage), ("near dedup", near_stage), ("substring dedup", substring_stage), ("packing", packing_stage)]
+#: The line chain, fingerprint components and the bucket boundaries have no SQL; tests compare with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", *COLUMNS)
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -125,6 +125,23 @@ def quality_rules(docs: DataFrame, chain: Chain | None, min_words: int = 10, max
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(label, schema)
 
 
+def keep_good(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns; decided row by row, nothing is moved."""
+    schema = docs.schema
+    at = schema.names.index(text_col)
+    least, most, share = rules.get("min_words", 10), rules.get("max_repeat_percent", 20), rules.get("min_content", 0.5)
+
+    def choose(batches):
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            counts = [base_counts(t) for t in texts]
+            good = content_shares(texts, chain) >= share
+            good &= np.array([c[0] >= least and 100 * c[4] <= most * c[0] for c in counts], bool)
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(choose, schema)
+
+
 def content_shares(texts: list[bytes | None], chain: Chain | None) -> np.ndarray:
     """The share of characters in lines that the chain marks as content, for each text."""
     shares = np.zeros(len(texts))

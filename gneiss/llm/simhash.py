@@ -201,5 +201,12 @@ def simhash_components(docs: DataFrame, width: int = 3, threshold: int = 3, seed
     return marks.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, with all their columns."""
+    found = simhash_components(docs, id_col=id_col, text_col=text_col, **how)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    return docs.join(first, docs[id_col].eqNullSafe(F.col("_first")), "left_semi")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents", "doc_id", "text"))
