@@ -56,7 +56,7 @@ def resolve_revisits(captures: DataFrame, slices: int = 64) -> DataFrame:
     """
     known = captures.where(F.col("kind").isin("response", "revisit")).withColumn("canonical", canonical_url(F.col("url")))
     usable = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
-    cuts = known.where(F.col("ts").isNotNull()).approxQuantile("ts", [i / slices for i in range(1, slices)], 0.005)
+    cuts = known.agg(F.percentile_approx("ts", [i / slices for i in range(1, slices)], 1000).alias("q")).first().q if slices > 1 else None
     edges = F.array(*[F.lit(int(c)).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
     events = known.where(usable).withColumn("_slice", F.size(F.filter(edges, lambda e: e < F.col("ts"))))
     full = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified", "payload_digest", "headers"))
