@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read_table
+from .common import read_table, slices
 from .crf import Chain, fit
 from .dom import Block, leaf_blocks
 
@@ -26,11 +26,11 @@ TERMS = (
     frozenset("form search subscribe newsletter signup login signin".split()),
     frozenset("share sharing social follow tags tag meta byline author".split()),
 )
-WIDTH = 2 + len(TAGS) + len(TERMS) + 9
+WIDTH = 2 + len(TAGS) + len(TERMS) + 7
 
 
 def block_features(blocks: list[Block]) -> np.ndarray:
-    """Ancestor tags and class terms, then length, links, ending, symbols and place in the page."""
+    """Ancestor tags and class terms, then length, links, ending and symbols."""
     out = np.zeros((len(blocks), WIDTH))
     for i, b in enumerate(blocks):
         tags = frozenset(b.tags)
@@ -38,7 +38,7 @@ def block_features(blocks: list[Block]) -> np.ndarray:
         row += [float(t in tags) for t in TAGS]
         row += [float(not b.terms.isdisjoint(group)) for group in TERMS]
         words = b.text.count(" ") + 1
-        row += [min(np.log1p(words), 6.0) / 6.0, float(words <= 3), float(words >= 25), b.linked, float(b.linked > 0.6), float(b.text[-1:] in ".!?\"'”»。"), float("©" in b.text or "·" in b.text), i / max(1, len(blocks)), float(i == 0)]
+        row += [min(np.log1p(words), 6.0) / 6.0, float(words <= 3), float(words >= 25), b.linked, float(b.linked > 0.6), float(b.text[-1:] in ".!?\"'”»。"), float("©" in b.text or "·" in b.text)]
         out[i] = row
     return out
 
@@ -138,14 +138,15 @@ def practice_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[bool
             wrap = rng.choice(("<article>{}</article>",) * 4 + ("<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main" class="post-body">{}</div>', '<section class="entry-content">{}</section>', '<div role="main">{}</div>', '<div class="story">{}</div>', "<div>{}</div>"))
             put(wrap.format("".join(inner)), *kinds)
 
-        for make, share in ((notice, 0.25), (header, 0.5), (menu, 0.8), (form, 0.2), (advert, 0.5), (side, 0.2)):
+        bare = rng.random() < 0.1  # nothing but the article
+        for make, share in () if bare else ((notice, 0.25), (header, 0.5), (menu, 0.8), (form, 0.2), (advert, 0.5), (side, 0.2)):
             if rng.random() < share:
                 make()
         article()
-        for make, share in ((advert, 0.2), (side, 0.3), (comments, 0.35), (form, 0.2), (notice, 0.1)):
+        for make, share in () if bare else ((advert, 0.2), (side, 0.3), (comments, 0.35), (form, 0.2), (notice, 0.1)):
             if rng.random() < share:
                 make()
-        if rng.random() < 0.85:
+        if not bare and rng.random() < 0.85:
             put(rng.choice(("<footer>{}</footer>", "<footer><p>{}</p></footer>", '<div class="footer">{}</div>', '<div id="footer"><small>{}</small></div>')).format(f"&copy; {words(1)} &middot; {sentence(rng.randint(2, 14))}"), False)
         pages.append((f"<!DOCTYPE html><html><head><title>{words(4)}</title><style>p{{}}</style></head><body>{''.join(parts)}</body></html>", marks))
     return pages
@@ -203,9 +204,9 @@ def extract_main_text(pages: DataFrame, chain: Chain, id_col: str = "page_id", u
     """
 
     def read(batches):
-        for batch in batches:
+        for batch in slices(batches, 256):
             pages = batch.column(2).to_pylist()
-            texts = [t for a in range(0, len(pages), 256) for t in main_texts(pages[a : a + 256], chain)]
+            texts = main_texts(pages, chain)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
