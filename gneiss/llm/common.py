@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -54,11 +56,21 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Ask the driver's JVM to collect, so that shuffle files of finished phases are removed before the next phase."""
-    import gc
+    """Ask the driver's JVM to collect, so that shuffle files of finished phases are removed before the next phase.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    The first round drops the plans, the second what only they held; removal itself runs in the background.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
+
+
+def slices(batches, rows: int = 1000):
+    """Arrow batches in pieces of at most ``rows`` rows, so that Python objects of few rows live at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

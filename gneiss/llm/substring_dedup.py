@@ -10,6 +10,9 @@ address that every pass can recompute:
    its suffixes into a subtree, whose nodes at the window's depth are the repeats; a node's smallest document
    keeps its words, the addresses of all others go back.
 3. Removal: each bucket removes the words covered by windows that repeat in it or were sent back.
+
+Every window of an equal text with a larger id repeats, so such copies are settled by a digest of the text and
+take part in no pass.
 """
 
 from __future__ import annotations
@@ -18,26 +21,67 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialise, read_table, release_shuffles, shuffle_partitions
+from .common import materialise, read_table, release_shuffles, shuffle_partitions, slices
 
 WINDOW = 13
-CODE_BYTES = 3
-BUCKET_BYTES = 12_000_000
+CODE_BYTES = 2
+CHECK_BYTES = 8
+BUCKET_BYTES = 8_000_000
 NO_ID = np.iinfo(np.int64).max
-_MULTIPLIERS = np.random.default_rng(20240229).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_RANDOM = np.random.default_rng(20240229)
+_LETTER = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15 | 1
+_SOLID = np.ones(256, bool)
+_SOLID[[0x20, *range(0x09, 0x0E)]] = False
+
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-class _Hashes(dict):
-    def __missing__(self, word):
-        h = self[word] = xxhash.xxh64_intdigest(word, 7)
-        return h
 
+def hash_words(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of ``raw``, and how many words each of the texts has that end at ``ends``.
 
-_hashes = _Hashes()
+    A byte counts by its place in the word; long words are hashed in stretches of 256 bytes that are chained.
+    """
+    data = np.frombuffer(raw, np.uint8)
+    solid = _SOLID[data]
+    begins = np.flatnonzero(solid & ~np.concatenate((np.zeros(min(1, len(solid)), bool), solid[:-1])))
+    counts = np.diff(np.searchsorted(begins, ends), prepend=0)
+    if not len(begins):
+        return np.zeros(0, np.uint64), counts
+    bytes_of = data[solid]
+    stops = np.flatnonzero(solid & ~np.concatenate((solid[1:], np.zeros(1, bool)))) + 1
+    length = stops - begins
+    first = np.cumsum(length) - length
+    place = np.arange(len(bytes_of), dtype=np.int64) - np.repeat(first, length)
+    value = _LETTER[bytes_of] * _PLACE[place & 255]
+    value ^= value >> np.uint64(29)
+    if length.max() > 256:
+        value += place.astype(np.uint64) >> np.uint64(8)
+        value *= np.uint64(2) * (place.astype(np.uint64) >> np.uint64(8)) + np.uint64(1)
+    return _mix(np.add.reduceat(value, first) + length.astype(np.uint64)), counts
+
+
+def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
+    """The hash of each run of ``window`` word hashes, from sums of a polynomial whose base is odd."""
+    n = len(words) - window + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    powers = np.full(len(words), _BASE, np.uint64)
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    back = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    back[0] = 1
+    np.multiply.accumulate(back, out=back)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(words * powers)))
+    return _mix((sums[window:] - sums[:n]) * back)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -59,34 +103,33 @@ def _unpack(blob: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
 
 
 class Bucket:
-    """The documents of a bucket in a fixed order, the hash of each word, and of each window that fits."""
+    """The documents of a bucket in a fixed order, without copies: the hash of each word, and where windows fit.
 
-    def __init__(self, table: pa.Table, window: int):
-        ids = table.column("_id").to_numpy(zero_copy_only=False) if table.column("_id").null_count == 0 else np.array([NO_ID if i is None else i for i in table.column("_id").to_pylist()], np.int64)
+    ``facts`` lists the copies of the bucket among its rows, as pairs of id and mark.
+    """
+
+    def __init__(self, table: pa.Table, facts: pa.Table, window: int):
+        keys, marks = table.column("_key").to_numpy(), table.column("_mark").to_numpy()
         self.window = window
-        self.order = np.lexsort((table.column("_mark").to_numpy(), ids))
-        self.ids = ids[self.order].astype(np.int64)
+        self.order = np.lexsort((marks, keys))
+        self.ids = keys[self.order]
         self.texts = table.column("_text").cast(pa.binary()).take(pa.array(self.order)).to_pylist()
-        hashed = []
-        for t in self.texts:
-            words = t.split() if t else []  # bytes.split() cuts at ASCII white space only
-            hashed.append(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)))
-            if len(_hashes) > 300_000:
-                _hashes.clear()
-        self.counts = np.array([len(h) for h in hashed], np.int64)
+        known = facts.column("copy_ids").combine_chunks().flatten().to_pylist(), facts.column("copy_marks").combine_chunks().flatten().to_pylist()
+        copies = set(zip(*known))
+        self.copy = np.array([pair in copies for pair in zip(self.ids.tolist(), marks[self.order].tolist())], bool) if copies else np.zeros(len(self.ids), bool)
+        own = [b"" if c or t is None else t for t, c in zip(self.texts, self.copy.tolist())]
+        self.words, self.counts = hash_words(b" ".join(own), np.cumsum([len(t) + 1 for t in own], dtype=np.int64))
         self.firsts = np.cumsum(self.counts) - self.counts
-        self.words = np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
-        n = max(0, len(self.words) - window + 1)
-        value = np.zeros(n, np.uint64)
-        for k in range(window):
-            value += self.words[k : k + n] * _MULTIPLIERS[k]
+
+    def sort_windows(self) -> None:
+        """Sort the windows that fit by hash; of each group of equal ones, its start, smallest and largest document."""
+        value = window_hashes(self.words, self.window)
+        n = len(value)
         owner = np.repeat(np.arange(len(self.counts)), self.counts)[:n]
-        fits = np.arange(n) + window <= (self.firsts + self.counts)[owner]
-        self.at = np.flatnonzero(fits)  # where windows start
+        self.at = np.flatnonzero(np.arange(n) + self.window <= (self.firsts + self.counts)[owner])  # where windows start
         self.value = value[self.at]
         self.doc = self.ids[owner[self.at]]
-        #: Windows sorted by hash, of each group of equal ones its start, its smallest and its largest document.
-        self.sorted = np.argsort(self.value, kind="stable")
+        self.sorted = np.argsort(self.value)
         v = self.value[self.sorted]
         self.heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(v)), bool), v[1:] != v[:-1])))
         d = self.doc[self.sorted]
@@ -104,28 +147,42 @@ class Bucket:
         return own[same]
 
 
+FACTS = "_bucket int, places binary, copy_ids array<long>, copy_marks array<long>"
+
+
 def _bucketed(docs: DataFrame, buckets: int, id_col: str, text_col: str, *more: str) -> DataFrame:
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    own = docs.select(F.col(id_col).cast("long").alias("_id"), mark.alias("_mark"), F.col(text_col).cast("string").alias("_text"), *more)
-    return own.withColumn("_bucket", F.pmod(F.xxhash64("_id", "_mark"), F.lit(buckets)).cast("int"))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    own = docs.select(F.col(id_col).alias("_id"), key.alias("_key"), mark.alias("_mark"), F.col(text_col).cast("string").alias("_text"), *more)
+    return own.withColumn("_bucket", F.pmod(F.xxhash64("_key", "_mark"), F.lit(buckets)).cast("int"))
+
+
+def equal_texts(bucketed: DataFrame) -> DataFrame:
+    """For each bucket its rows whose text is that of a smaller id, in the form of FACTS."""
+    rows = bucketed.where(F.octet_length("_text") > 0).select("_bucket", "_key", "_mark", F.unhex(F.sha2("_text", 256)).alias("_sha"))
+    least = rows.groupBy("_sha").agg(F.min("_key").alias("_least"), F.max("_key").alias("_most")).where("_least < _most")
+    copies = rows.join(least, "_sha").where("_key > _least")
+    found = copies.groupBy("_bucket").agg(F.collect_list("_key").alias("copy_ids"), F.collect_list("_mark").alias("copy_marks"))
+    return found.select("_bucket", F.lit(None).cast("binary").alias("places"), "copy_ids", "copy_marks")
 
 
-def repeat_candidates(bucketed: DataFrame, parts: int, window: int) -> DataFrame:
+def repeat_candidates(bucketed: DataFrame, copies: DataFrame, parts: int, window: int) -> DataFrame:
     """Pass 1: ``_bucket, places``, the starts of windows whose hash another bucket has too."""
+    keep = np.uint64(max(16, (parts - 1).bit_length()))  # bits dropped, so that the products below fit into 64
 
-    def send(table: pa.Table) -> pa.Table:
-        b = Bucket(table, window)
-        bucket = table.column("_bucket")[0].as_py()
+    def send(table: pa.Table, facts: pa.Table) -> pa.Table:
+        b = Bucket(table, facts, window)
+        b.sort_windows()
+        bucket = table.column("_bucket")[0].as_py() if table.num_rows else 0
         single = (b.least == b.most)[b.group]
         first = np.zeros(len(b.sorted), bool)
         first[b.heads] = True
         chosen = b.sorted[single | first]
         value, at = b.value[chosen], b.at[chosen].astype(np.uint32)
-        part = ((value >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        key = (value & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        order = np.lexsort((key, part))
-        part, key, at = part[order], key[order], at[order]
-        cuts = np.searchsorted(part, np.arange(parts + 1))
+        scaled = (value >> keep) * np.uint64(parts)  # sorted like value
+        part = scaled >> (np.uint64(64) - keep)
+        key = (scaled >> (np.uint64(32) - keep) if keep < 32 else scaled).astype(np.uint32)
+        cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
         rows = [(p, _pack(np.diff(key[lo:hi], prepend=np.uint32(0)), at[lo:hi])) for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if lo < hi]
         return pa.table({"part": pa.array([p for p, _ in rows], pa.int32()), "_bucket": pa.array([bucket] * len(rows), pa.int32()), "sent": pa.array([s for _, s in rows], pa.binary())})
 
@@ -139,7 +196,7 @@ def repeat_candidates(bucketed: DataFrame, parts: int, window: int) -> DataFrame
             sizes.append(len(at))
         key, place = np.concatenate(keys), np.concatenate(places)
         owner = np.repeat(np.arange(len(buckets)), sizes)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, owner_sorted = key[order], owner[order]
         heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         several = np.minimum.reduceat(owner_sorted, heads) != np.maximum.reduceat(owner_sorted, heads)
@@ -147,7 +204,7 @@ def repeat_candidates(bucketed: DataFrame, parts: int, window: int) -> DataFrame
         rows = _by_owner(owner[hit], place[hit])
         return pa.table({"_bucket": pa.array([buckets[o] for o, _ in rows], pa.int32()), "places": pa.array([p for _, p in rows], pa.binary())})
 
-    sent = bucketed.groupBy("_bucket").applyInArrow(send, "part int, _bucket int, sent binary")
+    sent = bucketed.groupBy("_bucket").cogroup(copies.groupBy("_bucket")).applyInArrow(send, "part int, _bucket int, sent binary")
     return sent.groupBy("part").applyInArrow(meet, "_bucket int, places binary")
 
 
@@ -159,7 +216,7 @@ def _by_owner(owner: np.ndarray, place: np.ndarray) -> list[tuple[int, bytes]]:
 
 
 def _places(table: pa.Table) -> np.ndarray:
-    found = [np.cumsum(_unpack(blob, (np.uint32, 1))[0], dtype=np.uint32) for blob in table.column("places").to_pylist()]
+    found = [np.cumsum(_unpack(blob, (np.uint32, 1))[0], dtype=np.uint32) for blob in table.column("places").to_pylist() if blob is not None]
     return np.unique(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
@@ -214,58 +271,62 @@ def _as_words(rows: np.ndarray) -> list[np.ndarray]:
     return list(np.ascontiguousarray(wide).view(">u8").astype(np.uint64).T)
 
 
-def repeats(bucketed: DataFrame, candidates: DataFrame, heavy: list[np.ndarray], groups: int, window: int) -> DataFrame:
-    """Pass 2: ``_bucket, places``, the starts of windows that a smaller document of another bucket has."""
+def repeats(bucketed: DataFrame, facts: DataFrame, heavy: list[np.ndarray], groups: int, window: int) -> DataFrame:
+    """Pass 2: ``_bucket, places``, the starts of windows that a smaller document has, of this bucket or another."""
     wide = CODE_BYTES * window
-    kinds = ((np.uint8, wide), (np.uint8, 5), (np.uint32, 1), (np.uint32, 1))
+    kinds = ((np.uint8, wide), (np.uint8, CHECK_BYTES), (np.uint32, 1), (np.uint32, 1))
+    names, types = ("part", "_bucket", "ids", "sent", "places"), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
 
     def send(table: pa.Table, found: pa.Table) -> pa.Table:
-        empty = pa.table({"part": pa.array([], pa.int32()), "_bucket": pa.array([], pa.int32()), "ids": pa.array([], pa.binary()), "sent": pa.array([], pa.binary())})
-        if not table.num_rows or not found.num_rows:
-            return empty
-        b = Bucket(table, window)
-        bucket = table.column("_bucket")[0].as_py()
-        here = np.zeros(len(b.words), bool)
-        here[_places(found)] = True
-        hit = np.zeros(len(b.heads), bool)
-        np.logical_or.at(hit, b.group, here[b.at[b.sorted]])
-        own = b.sorted[hit[b.group] & (b.doc[b.sorted] == b.least[b.group])]
-        if not len(own):
-            return empty
-        at, doc = b.at[own], b.doc[own]
-        codes = _codes(b.words, at, window)
-        group = prefix_groups(codes, heavy, groups)
-        raw = np.ascontiguousarray(codes.astype(">u4")).view(np.uint8).reshape(len(codes), window, 4)[:, :, 4 - CODE_BYTES :].reshape(len(codes), wide)
-        check = np.ascontiguousarray(b.value[own].astype(">u8")).view(np.uint8).reshape(-1, 8)[:, 3:]
-        order = np.lexsort((*_as_words(raw)[::-1], group))
-        rows = []
-        cuts = np.searchsorted(group[order], np.arange(groups + 1))
-        for g, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
-            if lo < hi:
-                e = order[lo:hi]
-                ids, index = np.unique(doc[e], return_inverse=True)
-                rows.append((g, ids.tobytes(), _pack(raw[e], check[e], index.astype(np.uint32), at[e].astype(np.uint32))))
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "_bucket": pa.array([bucket] * len(rows), pa.int32()), "ids": pa.array([r[1] for r in rows], pa.binary()), "sent": pa.array([r[2] for r in rows], pa.binary())})
+        rows: list[tuple] = []
+        if table.num_rows:
+            b = Bucket(table, found, window)
+            b.sort_windows()
+            bucket = table.column("_bucket")[0].as_py()
+            here = np.zeros(len(b.words), bool)
+            here[_places(found)] = True
+            hit = np.zeros(len(b.heads), bool)
+            hit[b.group[here[b.at[b.sorted]]]] = True
+            own = b.sorted[hit[b.group] & (b.doc[b.sorted] == b.least[b.group])]
+            at, doc = b.at[own], b.doc[own]
+            codes = _codes(b.words, at, window)
+            group = prefix_groups(codes, heavy, groups)
+            raw = np.ascontiguousarray(codes.astype(f">u{CODE_BYTES}")).view(np.uint8).reshape(len(codes), wide)
+            check = np.ascontiguousarray(b.value[own].astype(">u8")).view(np.uint8).reshape(-1, 8)
+            order = np.lexsort((*_as_words(raw)[::-1], group))
+            cuts = np.searchsorted(group[order], np.arange(groups + 1))
+            for g, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if lo < hi:
+                    e = order[lo:hi]
+                    ids, index = np.unique(doc[e], return_inverse=True)
+                    rows.append((g, bucket, ids.tobytes(), _pack(raw[e], check[e], index.astype(np.uint32), at[e].astype(np.uint32)), None))
+            settled = b.repeated_here()
+            rows += [(bucket % groups, bucket, None, None, p) for _, p in _by_owner(np.zeros(len(settled), np.int64), settled)]
+        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, types))})
 
     def grow(table: pa.Table) -> pa.Table:
-        buckets = table.column("_bucket").to_pylist()
-        raws, checks, docs, places, sizes = [], [], [], [], []
-        for ids, blob in zip(table.column("ids").to_pylist(), table.column("sent").to_pylist()):
+        out = [(b, p) for b, p in zip(table.column("_bucket").to_pylist(), table.column("places").to_pylist()) if p is not None]
+        buckets, raws, checks, docs, places, sizes = [], [], [], [], [], []
+        for bucket, ids, blob in zip(*(table.column(c).to_pylist() for c in ("_bucket", "ids", "sent"))):
+            if blob is None:
+                continue
             raw, check, index, at = _unpack(blob, *kinds)
+            buckets.append(bucket)
             raws.append(raw)
             checks.append(check)
             docs.append(np.frombuffer(ids, np.int64)[index])
             places.append(at)
             sizes.append(len(at))
-        order, heads = deep_nodes(np.concatenate(raws), np.concatenate(checks))
-        doc, place = np.concatenate(docs)[order], np.concatenate(places)[order]
-        owner = np.repeat(np.arange(len(buckets)), sizes)[order]
-        least = np.repeat(np.minimum.reduceat(doc, heads), np.diff(heads, append=len(doc)))
-        gone = doc > least
-        rows = _by_owner(owner[gone], place[gone])
-        return pa.table({"_bucket": pa.array([buckets[o] for o, _ in rows], pa.int32()), "places": pa.array([p for _, p in rows], pa.binary())})
-
-    sent = bucketed.groupBy("_bucket").cogroup(candidates.groupBy("_bucket")).applyInArrow(send, "part int, _bucket int, ids binary, sent binary")
+        if buckets:
+            order, heads = deep_nodes(np.concatenate(raws), np.concatenate(checks))
+            doc, place = np.concatenate(docs)[order], np.concatenate(places)[order]
+            owner = np.repeat(np.arange(len(buckets)), sizes)[order]
+            least = np.repeat(np.minimum.reduceat(doc, heads), np.diff(heads, append=len(doc)))
+            gone = doc > least
+            out += [(buckets[o], p) for o, p in _by_owner(owner[gone], place[gone])]
+        return pa.table({"_bucket": pa.array([o for o, _ in out], pa.int32()), "places": pa.array([p for _, p in out], pa.binary())})
+
+    sent = bucketed.groupBy("_bucket").cogroup(facts.groupBy("_bucket")).applyInArrow(send, "part int, _bucket int, ids binary, sent binary, places binary")
     return sent.groupBy("part").applyInArrow(grow, "_bucket int, places binary")
 
 
@@ -273,13 +334,12 @@ def _sample_codes(docs: DataFrame, rows: int, window: int, text_col: str, id_col
     """Word codes of windows of about ``max_docs`` documents, ``per_doc`` at most of each; they only shape groups."""
 
     def pick(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t in batch.column(0).cast(pa.binary()).to_pylist():
-                words = (t or b"").split()
-                n = len(words) - window + 1
+                hashed, _ = hash_words(t or b"", np.zeros(0, np.int64))
+                n = len(hashed) - window + 1
                 if n > 0:
-                    hashed = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
                     out.append(_codes(hashed, np.unique(np.linspace(0, n - 1, per_doc).astype(np.int64)), window).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["codes"])
 
@@ -299,31 +359,35 @@ def remove_repeats(docs: DataFrame, emit, schema: str, window: int = WINDOW, id_
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0)).alias("b")).first()
     count = max(shuffle_partitions(spark), -(-int(size.b) // BUCKET_BYTES))
     plain = _bucketed(docs, count, id_col, text_col)
-    candidates = materialise(repeat_candidates(plain, count, window))
+    none = F.lit(None).cast("array<long>")
+    with_lists = lambda df: df.select("_bucket", "places", none.alias("copy_ids"), none.alias("copy_marks"))
+    copies = materialise(equal_texts(plain))
+    candidates = materialise(repeat_candidates(plain, copies, count, window))
     release_shuffles(spark)
     heavy = heavy_prefixes(_sample_codes(docs, size.n, window, text_col, id_col), count)
-    gone = materialise(repeats(plain, candidates, heavy, count, window))
+    gone = materialise(repeats(plain, copies.union(with_lists(candidates)), heavy, count, window))
     release_shuffles(spark)
 
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
         if not table.num_rows:
             return emit(table, np.zeros(0, np.int64), [], [])
-        b = Bucket(table, window)
-        cover = np.zeros(len(b.words) + 1, np.int64)
-        starts = np.concatenate((_places(found), b.repeated_here()))
-        leads = np.zeros(len(b.words), bool)  # what was sent back stands for all equal windows of its document
-        leads[starts] = True
-        np.add.at(cover, np.flatnonzero(leads), 1)
-        np.add.at(cover, np.flatnonzero(leads) + window, -1)
-        stays = np.cumsum(cover[:-1]) == 0
+        b = Bucket(table, found, window)
+        leads = np.zeros(len(b.words) + window, np.int64)
+        starts = _places(found)
+        leads[starts] = 1
+        leads[starts + window] -= 1
+        stays = np.cumsum(leads)[: len(b.words)] == 0
         keeps = []
-        for first, n in zip(b.firsts.tolist(), b.counts.tolist()):
+        for text, copy, first, n in zip(b.texts, b.copy.tolist(), b.firsts.tolist(), b.counts.tolist()):
             own = stays[first : first + n]
+            if copy:
+                n = len(text.split())
+                own = np.full(n, n < window)
             keeps.append(None if own.all() else own)
         return emit(table, b.order, b.texts, keeps)
 
     full = _bucketed(docs, count, id_col, text_col, *more)
-    return full.groupBy("_bucket").cogroup(gone.groupBy("_bucket")).applyInArrow(finish, schema)
+    return full.groupBy("_bucket").cogroup(copies.union(with_lists(gone)).groupBy("_bucket")).applyInArrow(finish, schema)
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
