@@ -1 +1 @@
-
+"""Column functions and byte codecs."""

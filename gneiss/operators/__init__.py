@@ -1 +1 @@
-
+"""Relational operators of the recovery pipeline, each a DataFrame -> DataFrame function."""
