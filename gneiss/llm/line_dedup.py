@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import read_table, shuffle_partitions
+from .common import read_table, shuffle_partitions, slices
 
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -155,7 +155,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     at = schema.names.index(text_col)
 
     def rebuild(batches):
-        for batch in batches:
+        for batch in slices(batches):
             raws, keeps = batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(schema)).to_pylist()
             texts = [r if k is None else kept_text(r, k)[2] for r, k in zip(raws, keeps)]
             columns = [batch.column(i) for i in range(len(schema))]
@@ -170,7 +170,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
 
     def digest(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [kept_text(r, k) for r, k in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([hashlib.sha256(f[2]).hexdigest() for f in found], pa.string())],

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialise, read_table
+from .common import materialise, read_table, slices
 from .components import connected_components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -41,7 +42,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str =
     """``doc_id, fp`` (the 64 bits as a signed long); a null or empty text has fingerprint zero."""
 
     def calc(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = b"".join(fingerprint(t, width, seed) for t in batch.column(1).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(found, ">i8").astype(np.int64))], names=["doc_id", "fp"])
 
@@ -64,9 +65,7 @@ def _syndrome(word: np.ndarray) -> np.ndarray:
 @lru_cache(2)
 def ball(threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each syndrome, where its error patterns of weight up to RADIUS + threshold start; the patterns; their weights."""
-    words = np.arange(1 << LENGTH, dtype=np.int64)
-    weight = np.bitwise_count(words.astype(np.uint32))
-    words = words[weight <= RADIUS + threshold]
+    words = np.array([sum(1 << b for b in bits) for k in range(min(LENGTH, RADIUS + threshold) + 1) for bits in combinations(range(LENGTH), k)], np.int64)
     syndrome = _syndrome(words)
     order = np.lexsort((np.bitwise_count(words.astype(np.uint32)), syndrome))
     words, syndrome = words[order], syndrome[order]
@@ -147,8 +146,8 @@ def similar_links(fps: DataFrame, threshold: int = 3, group_rows: int = 400_000)
         total = np.zeros(ROUTE, np.int64)
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for a in range(0, len(fp), 20_000):
-                total += np.bincount(anchors(fp[a : a + 20_000], threshold)[1], minlength=ROUTE)
+            for a in range(0, len(fp), 4_000):
+                total += np.bincount(anchors(fp[a : a + 4_000], threshold)[1], minlength=ROUTE)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(ROUTE)), pa.array(total)], names=["anchor", "n"])
 
     loads = np.ones(ROUTE, np.int64)  # one row per anchor comes to the driver
@@ -158,8 +157,8 @@ def similar_links(fps: DataFrame, threshold: int = 3, group_rows: int = 400_000)
     def deal(batches):
         for batch in batches:
             whole = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for a in range(0, len(whole), 5_000):
-                fp = whole[a : a + 5_000]
+            for a in range(0, len(whole), 2_000):
+                fp = whole[a : a + 2_000]
                 at, anchor, mine = anchors(fp, threshold)
                 parts = loads[anchor]
                 part = ((fp[at] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
