@@ -40,13 +40,13 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
     Lines whose key has at least ``min_chars`` code points and is found in at least ``min_docs`` documents are
     dropped from all documents but the one with the largest id, where all of them stay. Only 16-byte hashes,
     ids and positions are moved. Hashes are uniform, so equal ranges of them are equal partitions; each is
-    sorted by hash, falling id and position, so the first document of a hash is its keeper and the rest streams
-    by. Within a batch of documents a hash in ``min_docs`` of them is settled at once and passes on its largest
+    sorted by hash, falling id and first position (one row holds all positions of a hash in a document), so the
+    first document of a hash is its keeper and the rest streams by. Within a batch of documents a hash in ``min_docs`` of them is settled at once and passes on its largest
     document only, so a line found in a third of all documents is a few rows per batch.
     """
     kind = dict(docs.dtypes)[id_col]
     ranges = shuffle_partitions(docs.sparkSession)
-    schema = f"part int, digest binary, doc_id {kind}, text_mark long, n_lines int, pos int, weight int"
+    schema = f"part int, digest binary, doc_id {kind}, text_mark long, n_lines int, places array<int>, weight int"
 
     def spread(batches):
         for batch in batches:
@@ -58,25 +58,23 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
                 lines_of.append(len(lines))
                 for pos, line in enumerate(lines):
                     if (key := line_key(line, min_chars)) is not None:
-                        held.setdefault(xxhash.xxh3_128_digest(key), {}).setdefault(ids[row], []).append((row, pos))
+                        held.setdefault(xxhash.xxh3_128_digest(key), {}).setdefault(ids[row], {}).setdefault(row, []).append(pos)
             out = []
             for digest, by_doc in held.items():
                 part = int.from_bytes(digest[:4], "big") * ranges >> 32
-                if len(by_doc) < min_docs:
-                    for places in by_doc.values():
-                        out += [(part, digest, row, pos, 1) for row, pos in places]
-                    continue
-                top = max(by_doc, key=_rank)
-                for doc, places in by_doc.items():
-                    if doc == top:
-                        out += [(part, digest, row, pos, min_docs) for row, pos in places]
-                    else:  # settled: dealt by the row, as the answer is all that is still needed
-                        out += [(marks[row] % ranges, None, row, pos, 0) for row, pos in places]
-            part, digest, row, pos, weight = zip(*out) if out else ((),) * 5
+                many = len(by_doc) >= min_docs
+                top = max(by_doc, key=_rank) if many else None
+                for doc, by_row in by_doc.items():
+                    for row, places in by_row.items():
+                        if not many or doc == top:
+                            out.append((part, digest, row, places, min_docs if many else 1))
+                        else:  # settled: dealt by the row, as the answer is all that is still needed
+                            out.append((marks[row] % ranges, None, row, places, 0))
+            part, digest, row, places, weight = zip(*out) if out else ((),) * 5
             row = np.array(row, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int32()), pa.array(digest, pa.binary()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(np.array(lines_of, np.int32)[row], pa.int32()), pa.array(pos, pa.int32()), pa.array(weight, pa.int32())],
-                names=["part", "digest", "doc_id", "text_mark", "n_lines", "pos", "weight"],
+                [pa.array(part, pa.int32()), pa.array(digest, pa.binary()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(np.array(lines_of, np.int32)[row], pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(weight, pa.int32())],
+                names=["part", "digest", "doc_id", "text_mark", "n_lines", "places", "weight"],
             )
 
     def stream(batches):
@@ -104,10 +102,10 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
                     late += waiting
                     waiting = []
                 else:
-                    waiting.append({k: batch.column(k)[i] for k in ("doc_id", "text_mark", "n_lines", "pos")})
+                    waiting.append({k: batch.column(k)[i] for k in ("doc_id", "text_mark", "n_lines", "places")})
             if late:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in late], t) for k, t in (("doc_id", batch.column(2).type), ("text_mark", pa.int64()), ("n_lines", pa.int32()), ("pos", pa.int32()))], names=["doc_id", "text_mark", "n_lines", "pos"])
-            yield batch.select(["doc_id", "text_mark", "n_lines", "pos"]).take(pa.array(drop, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in late], t) for k, t in (("doc_id", batch.column(2).type), ("text_mark", pa.int64()), ("n_lines", pa.int32()), ("places", pa.list_(pa.int32())))], names=["doc_id", "text_mark", "n_lines", "places"])
+            yield batch.select(["doc_id", "text_mark", "n_lines", "places"]).take(pa.array(drop, pa.int64()))
 
     def pack(batches):
         for batch in batches:
@@ -120,9 +118,9 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.int64()), pa.array(dropped, pa.int64()), pa.array(maps, pa.binary())], names=["doc_id", "text_mark", "n_lines", "n_dropped", "keep_bitmap"])
 
     rows = docs.select(F.col(id_col), _mark(F.col(text_col)), F.col(text_col).cast("string")).mapInArrow(spread, schema)
-    placed = rows.repartitionById(ranges, F.col("part")).sortWithinPartitions(F.col("digest"), F.col("doc_id").desc_nulls_last(), F.col("pos"))
-    drops = placed.mapInArrow(stream, f"doc_id {kind}, text_mark long, n_lines int, pos int")
-    by_doc = drops.groupBy("doc_id", "text_mark", "n_lines").agg(F.collect_set("pos").alias("places"))
+    placed = rows.repartitionById(ranges, F.col("part")).sortWithinPartitions(F.col("digest"), F.col("doc_id").desc_nulls_last(), F.col("places")[0])
+    drops = placed.mapInArrow(stream, f"doc_id {kind}, text_mark long, n_lines int, places array<int>")
+    by_doc = drops.groupBy("doc_id", "text_mark", "n_lines").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     return by_doc.mapInArrow(pack, f"doc_id {kind}, text_mark long, n_lines long, n_dropped long, keep_bitmap binary")
 
 

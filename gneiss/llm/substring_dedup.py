@@ -157,11 +157,18 @@ def _bucketed(docs: DataFrame, buckets: int, id_col: str, text_col: str, *more:
     return own.withColumn("_bucket", F.pmod(F.xxhash64("_key", "_mark"), F.lit(buckets)).cast("int"))
 
 
-def equal_texts(bucketed: DataFrame) -> DataFrame:
-    """For each bucket its rows whose text is that of a smaller id, in the form of FACTS."""
+def equal_texts(bucketed: DataFrame, salts: int = 64) -> DataFrame:
+    """For each bucket its rows whose text is that of a smaller id, in the form of FACTS.
+
+    Digests are compared in two levels, within salts and over them, and the answer goes back the same way, so a
+    text that a third of all rows share is spread over the salts.
+    """
     rows = bucketed.where(F.octet_length("_text") > 0).select("_bucket", "_key", "_mark", F.unhex(F.sha2("_text", 256)).alias("_sha"))
-    least = rows.groupBy("_sha").agg(F.min("_key").alias("_least"), F.max("_key").alias("_most")).where("_least < _most")
-    copies = rows.join(least, "_sha").where("_key > _least")
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(salts)).cast("int"))
+    parts = rows.groupBy("_salt", "_sha").agg(F.min("_key").alias("_least"), F.max("_key").alias("_most"))
+    whole = parts.groupBy("_sha").agg(F.min("_least").alias("_least"), F.max("_most").alias("_most")).where("_least < _most").select("_sha", "_least")
+    answer = parts.select("_salt", "_sha").join(whole, "_sha")
+    copies = rows.join(answer, ["_salt", "_sha"]).where("_key > _least")
     found = copies.groupBy("_bucket").agg(F.collect_list("_key").alias("copy_ids"), F.collect_list("_mark").alias("copy_marks"))
     return found.select("_bucket", F.lit(None).cast("binary").alias("places"), "copy_ids", "copy_marks")
 
