@@ -145,6 +145,11 @@ def _first(view: Column, rules: list[tuple[str, str]], other: Column) -> Column:
     return out.otherwise(other)
 
 
+def once(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` evaluated once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def riff_type(content: Column) -> Column:
     tag = F.hex(F.substring(content, 9, 4))
     out = F.lit("riff")
@@ -207,9 +212,10 @@ def looks_utf8(view: Column) -> Column:
 def classify(content: Column) -> Column:
     """The extension that fits the content, or null: signatures, UTF-16, text patterns, ASCII share, UTF-8."""
     head = F.hex(F.substring(content, 1, 16))
-    wide = _first(F.lower(wide_preview(content)), TEXT, F.lit("txt"))
+    wide = once(F.lower(wide_preview(content)), lambda v: _first(v, TEXT, F.lit("txt")))
     view = latin(content, 1, SAMPLE)
-    text = _first(F.lower(latin(content, 1, PREVIEW)), TEXT, F.when(ascii_percent(view) >= ASCII_PERCENT, "txt").when(looks_utf8(view), "txt"))
+    plain = once(view, lambda v: F.when(ascii_percent(v) >= ASCII_PERCENT, "txt").when(looks_utf8(v), "txt"))
+    text = F.coalesce(once(F.lower(latin(content, 1, PREVIEW)), lambda v: _first(v, TEXT, F.lit(None).cast("string"))), plain)
     refined = {"riff": riff_type(content), "ftyp": ftyp_type(content), "utf16": wide}
     out = F.when(F.length(content) == 0, F.lit(None).cast("string"))
     for offset, raw, ext in MAGIC:
@@ -223,10 +229,19 @@ def text_run(content: Column, within: int = 256) -> Column:
     return F.regexp_instr(latin(content, 1, within), F.lit(f"{PRINTABLE}{{{RUN},}}"))
 
 
+def first_class(views: Column) -> Column:
+    """The class of the first of several byte strings (an array) that has one; null strings have none."""
+    return F.get(F.filter(F.transform(views, classify), lambda c: c.isNotNull()), F.lit(0))
+
+
+def from_text_run(content: Column) -> Column:
+    """What starts at the first text run; null if there is none."""
+    return once(content, lambda c: F.when(text_run(c) > 0, F.substring(c, text_run(c), F.length(c))))
+
+
 def classify_deep(content: Column) -> Column:
     """``classify``, then the same for what starts at the first text run."""
-    at = text_run(content)
-    return F.coalesce(classify(content), F.when(at > 1, classify(F.substring(content, at, F.length(content)))))
+    return first_class(F.array(content, from_text_run(content)))
 
 
 def is_noise(content: Column) -> Column:
