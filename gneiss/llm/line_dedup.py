@@ -50,7 +50,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
 
     def spread(batches):
         for batch in batches:
-            ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids = batch.column(0).to_pylist()
             held: dict[bytes, dict] = {}
             lines_of = []
             for row, raw in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
@@ -68,8 +68,8 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
                     for row, places in by_row.items():
                         if not many or doc == top:
                             out.append((part, digest, row, places, min_docs if many else 1))
-                        else:  # settled: dealt by the row, as the answer is all that is still needed
-                            out.append((marks[row] % ranges, None, row, places, 0))
+                        else:  # settled: dealt by the id, as the answer is all that is still needed
+                            out.append((xxhash.xxh32_intdigest(str(doc)) % ranges, None, row, places, 0))
             part, digest, row, places, weight = zip(*out) if out else ((),) * 5
             row = np.array(row, np.int64)
             yield pa.RecordBatch.from_arrays(
