@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gneiss.llm import line_dedup, packing, quality, simhash, substring_dedup
+from gneiss.llm import line_dedup, near, packing, quality, substring_dedup
 from gneiss.llm.common import materialise, read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,8 +30,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return simhash.keep_first(docs.select(*COLUMNS))
+    """Of each group of near copies (0.8 of their five-word shingles and more) the document with the smallest id stays."""
+    return near.keep_first(docs.select(*COLUMNS))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import corpus_pipeline
 from test_lines_and_substrings import brute_lines, brute_substrings
-from test_simhash import brute_fp, classes
+from test_near import brute_groups
 
 from gneiss.llm import quality
 
@@ -25,12 +25,8 @@ def test_stages_match_brute_force(spark, odd, odd_rows, tmp_path):
     new = brute_lines(have)
     assert (got := run(1, have)) == sorted((counted(r, t) for r, t in zip(have, new)), key=repr)
     have = got
-    fps = [brute_fp(r[1]) for r in have]
-    group = classes(fps, [(a, b) for a in fps for b in fps if bin(a ^ b).count("1") <= 3])
-    first = {}
-    for r, f in zip(have, fps):
-        first[group[f]] = min(r[0], first.get(group[f], r[0]))
-    assert (got := run(2, have)) == [r for r in have if r[0] in first.values()]
+    first = set(brute_groups(have).values())
+    assert (got := run(2, have)) == [r for r in have if r[0] in first]
     have = got
     want = [counted(r, r[1] if not n else " ".join(w)) for r, (_, n, w) in zip(have, brute_substrings(have))]
     assert (got := run(3, have)) == sorted(want, key=repr)
