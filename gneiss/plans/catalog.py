@@ -76,10 +76,10 @@ def possibly_truncated(spark, d):
 
 @query("""SELECT file_inode, parent_inode, event_id AS block_num FROM (
   SELECT user_id AS file_inode, event_id % 997 AS parent_inode, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN c_custkey IS NULL THEN 1 ELSE 0 END, event_id) AS r
-  FROM events LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) ON event_id % 997 = c_custkey WHERE user_id <> 0) WHERE r = 1""")
+  FROM events LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 3000) ON event_id % 997 = c_custkey WHERE user_id <> 0) WHERE r = 1""")
 def drec_dedupe_known_parent(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("file_inode"), (F.col("event_id") % 997).alias("parent_inode"), F.col("event_id").alias("block_num"), F.lit(0).alias("ord"))
-    known = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("inode_id"))
+    known = table(spark, d, "customer").where("c_acctbal > 3000").select(F.col("c_custkey").alias("inode_id"))
     return R.one_entry_per_file(e, known).select("file_inode", "parent_inode", "block_num")
 
 
@@ -97,11 +97,11 @@ def inode_last_writer(spark, d):
 
 @query("""SELECT l_orderkey AS inode_id, l_linenumber AS logical, CASE WHEN s_suppkey IS NULL THEN 0 ELSE wanted END AS used_key, l_partkey AS physical FROM (
   SELECT *, CASE WHEN l_suppkey % 5 <> 0 THEN l_suppkey ELSE o_custkey % 50 END AS wanted FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey)
-LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) ON wanted = s_suppkey""")
+LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 4000) ON wanted = s_suppkey""")
 def crypto_fallback(spark, d):
     e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("inode_id"), F.col("l_linenumber").alias("logical"), F.when(F.col("l_suppkey") % 5 != 0, F.col("l_suppkey")).otherwise(0).alias("crypto_id"), F.col("l_partkey").alias("physical"))
     defaults = table(spark, d, "orders").select(F.col("o_orderkey").alias("inode_id"), (F.col("o_custkey") % 50).alias("default_crypto_id"))
-    states = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("crypto_id"))
+    states = table(spark, d, "supplier").where("s_acctbal > 4000").select(F.col("s_suppkey").alias("crypto_id"))
     return R.resolve_keys(e, defaults, states).select("inode_id", "logical", "used_key", "physical")
 
 
@@ -223,17 +223,17 @@ def path_by_names(spark, d):
     return hierarchy.resolve_paths(region.union(nation).union(customer), root=-1).where("depth = 3").select("inode_id", "path")
 
 
-@query("SELECT doc_id AS inode_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id % 7 <> 0 AND n_chars > 100")
+@query("SELECT doc_id AS inode_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND lang <> 'fr' AND n_chars > 100")
 def orphan_anti_join(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("inode_id"), "n_chars")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("inode_id"), "n_chars", "lang")
     holding = docs.where("n_chars > 100")
     named = table(spark, d, "labels").select(F.col("doc_id").alias("inode_id"))
-    return W.orphans(docs.select("inode_id"), holding, docs.where("inode_id % 7 = 0").select("inode_id"), named)
+    return W.orphans(docs.select("inode_id"), holding, docs.where("lang = 'fr'").select("inode_id"), named)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def done_set_anti(spark, d):
-    return W.without_done(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return W.without_done(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT o_orderkey, o_custkey, o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AS known FROM orders")
@@ -373,9 +373,9 @@ def utf8_validity(spark, d):
     return table(spark, d, "documents").select("doc_id", C.invalid_bytes(C.latin(F.col("text").cast("binary"), 1, 256)).alias("invalid"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(s, '[\\x09-\\x0d\\x20-\\x7e]{12,}') THEN length(regexp_extract(s, '^((?s).*?)[\\x09-\\x0d\\x20-\\x7e]{12,}', 1)) + 1 ELSE 0 END AS at_char FROM (SELECT doc_id, " + LATIN.format(t="substr(text, 3)", n=256) + " AS s FROM documents WHERE lang <> 'en')")
+@query("SELECT doc_id, CASE WHEN regexp_matches(s, '[\\x09-\\x0d\\x20-\\x7e]{12,}') THEN length(regexp_extract(s, '^((?s).*?)[\\x09-\\x0d\\x20-\\x7e]{12,}', 1)) + 1 ELSE 0 END AS at_char FROM (SELECT doc_id, " + LATIN.format(t="substr(text, 3)", n=256) + " AS s FROM documents)")
 def text_run(spark, d):
-    return table(spark, d, "documents").where("lang <> 'en'").select("doc_id", C.text_run(F.expr("cast(substr(text, 3) AS binary)")).alias("at_char"))
+    return table(spark, d, "documents").select("doc_id", C.text_run(F.expr("cast(substr(text, 3) AS binary)")).alias("at_char"))
 
 
 @query("SELECT doc_id, regexp_matches(hex(encode(CASE WHEN doc_id % 10 = 0 THEN repeat(chr(0), doc_id % 50) ELSE left(text, 3) END)), '^((00)*|(FF)*)$') AS noise FROM documents")
@@ -502,12 +502,12 @@ def run_consolidation(spark, d):
 
 
 def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.sha2(F.col("text"), 256).alias("sha"))
-    after = docs.where("path % 10 <> 0").withColumn("sha", F.when(F.col("path") % 7 == 0, F.concat("sha", F.lit("x"))).otherwise(F.col("sha")))
-    return docs.where("path % 9 <> 0"), after
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.sha2(F.col("text"), 256).alias("sha"), "lang", "source")
+    after = docs.where("source <> 'src3'").withColumn("sha", F.when(F.col("lang") == "de", F.concat("sha", F.lit("x"))).otherwise(F.col("sha")))
+    return docs.where("source <> 'src5'"), after
 
 
-SNAP = "WITH s AS (SELECT doc_id AS path, sha256(text) AS sha FROM documents), a AS (SELECT * FROM s WHERE path % 9 <> 0), b AS (SELECT path, CASE WHEN path % 7 = 0 THEN sha || 'x' ELSE sha END AS sha FROM s WHERE path % 10 <> 0)"
+SNAP = "WITH s AS (SELECT doc_id AS path, sha256(text) AS sha, lang, source FROM documents), a AS (SELECT * FROM s WHERE source <> 'src5'), b AS (SELECT path, CASE WHEN lang = 'de' THEN sha || 'x' ELSE sha END AS sha FROM s WHERE source <> 'src3')"
 
 
 @query(SNAP + " SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.sha <> b.sha")
