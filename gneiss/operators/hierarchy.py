@@ -2,43 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from gneiss.storage import written
 
 MAX_DEPTH = 100
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir); on one machine, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = getattr(spark.sparkContext, "_gneiss_dir", None) or tempfile.mkdtemp(prefix="gneiss-")
-        spark.sparkContext._gneiss_dir = found
-    return found
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a written table of the shared folder: the lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gneiss/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-
-    def drop() -> None:
-        try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the JVM is gone at exit
-            pass
-
-    atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def resolve_paths(entries: DataFrame, root: int = 2, max_depth: int = MAX_DEPTH, file: str = "file_inode", parent: str = "parent_inode", name: str = "name") -> DataFrame:
     """``inode_id, path, depth`` of every entry that hangs below ``root`` within ``max_depth`` parts.
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gneiss.functions import crypto, scalars as X
 from gneiss.operators import assemble, hierarchy, relations as R, worklist as W
 from gneiss.sources import blocks, decode, geometry
+from gneiss.storage import written
 
 from . import checkpoint, reports
 
@@ -44,15 +45,15 @@ def scan(spark: SparkSession, o: Options, g: geometry.Geometry, key: bytes | Non
     """The relations of an image: one entry per file, merged inodes, latest extents, paths."""
     size = os.stat(o.image).st_size - g.partition_offset
     raw = blocks.read_blocks(spark, o.image, g.block_size, g.partition_offset)
-    entries = hierarchy.written(decode.decode_entries(raw, g.block_size, key, o.min_xid))
-    found = hierarchy.written(R.plausible_extents(decode.extent_facts(entries), size // g.block_size, g.block_size, size))
+    entries = written(decode.decode_entries(raw, g.block_size, key, o.min_xid))
+    found = written(R.plausible_extents(decode.extent_facts(entries), size // g.block_size, g.block_size, size))
     extents = R.latest_extents(found)
     inodes = merge_inodes(decode.inode_facts(entries), decode.attribute_facts(entries), size)
     names = decode.directory_entries(entries)
-    single = hierarchy.written(R.one_entry_per_file(names, R.known_directories(inodes, names)))
+    single = written(R.one_entry_per_file(names, R.known_directories(inodes, names)))
     paths = hierarchy.resolve_paths(single.where("name <> ''"))
     clean = paths.withColumn("path", X.sanitize_path(F.col("path")))
-    return {"entries": single, "inodes": hierarchy.written(inodes), "extents": extents, "paths": clean}
+    return {"entries": single, "inodes": written(inodes), "extents": extents, "paths": clean}
 
 
 def merge_inodes(facts: DataFrame, attributes: DataFrame, partition_bytes: int) -> DataFrame:
@@ -130,9 +131,9 @@ def recover(spark: SparkSession, o: Options, run: int = 1) -> DataFrame | None:
     if o.scan_only:
         return None
     done = checkpoint.load_done(spark, state) if o.resume and not o.re_extract else spark.createDataFrame([], "inode_id long")
-    files = hierarchy.written(plan_files(tables, done, o))
+    files = written(plan_files(tables, done, o))
     rows = assemble.gather(files, tables["extents"])
-    results = hierarchy.written(assemble.write_files(rows, o.image, o.out, g.block_size, g.partition_offset, key, o.min_size, o.max_size))
+    results = written(assemble.write_files(rows, o.image, o.out, g.block_size, g.partition_offset, key, o.min_size, o.max_size))
     checkpoint.append_done(state, results.where(~F.col("status").startswith("failed")), run)
     if o.metadata:
         kept = files.select("path", X.safe_mode(F.coalesce("mode", F.lit(0)), F.lit(False)).alias("safe_mode"), "mod_ns", "access_ns").join(results.where("status = 'ok'").select("path"), "path")
