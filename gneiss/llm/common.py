@@ -66,6 +66,18 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.7)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, after its session was told to hand at most ``rows`` rows at once to Python.
+
+    Texts may be long: with the usual 10,000 rows, buffers on both sides take hundreds of megabytes. A session
+    with a smaller setting keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def slices(batches, rows: int = 1000):
     """Arrow batches in pieces of at most ``rows`` rows, so that Python objects of few rows live at once."""
     for batch in batches:

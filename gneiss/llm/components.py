@@ -11,7 +11,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Label every node of ``links(u, v)`` so that linked nodes share a label: ``node, label``.
 
     In each round every node moves to the node of its closed neighbourhood with the least hash (a new hash each
-    round), links follow their ends, and loops vanish; expected node counts fall by a constant factor, so the
+    round; the name itself in the first, which settles stars around their least node at once), links follow their ends, and loops vanish; expected node counts fall by a constant factor, so the
     rounds grow with the logarithm of the nodes. All rounds are joins and aggregates of written tables. Nulls
     are no links; loops and repeated links do no harm; no links give an empty result.
     """
@@ -21,8 +21,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for r in range(max_rounds):
         if edges.isEmpty():
             break
-        order = F.xxhash64("v", F.lit(r))
-        own = F.xxhash64("u", F.lit(r))
+        order = F.xxhash64("v", F.lit(r)) if r else F.col("v")
+        own = F.xxhash64("u", F.lit(r)) if r else F.col("u")
         least = edges.groupBy("u").agg(F.min(F.struct(order.alias("h"), F.col("v").alias("x"))).alias("m"))
         move = materialise(least.select(F.col("u").alias("node"), F.when(F.struct(own.alias("h"), F.col("u").alias("x")) < F.col("m"), F.col("u")).otherwise(F.col("m.x")).alias("to")))
         moves.append(move)

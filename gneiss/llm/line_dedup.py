@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import read_table, shuffle_partitions, slices
+from .common import read_table, shuffle_partitions, slices, small_batches
 
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -44,7 +44,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
     first document of a hash is its keeper and the rest streams by. Within a batch of documents a hash in ``min_docs`` of them is settled at once and passes on its largest
     document only, so a line found in a third of all documents is a few rows per batch.
     """
-    kind = dict(docs.dtypes)[id_col]
+    kind = dict(small_batches(docs).dtypes)[id_col]
     ranges = shuffle_partitions(docs.sparkSession)
     schema = f"part int, digest binary, doc_id {kind}, text_mark long, n_lines int, places array<int>, weight int"
 

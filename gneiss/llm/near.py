@@ -12,13 +12,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, slices
+from .common import materialise, slices, small_batches
 from .components import connected_components
 from .simhash import DATA_BITS, LENGTH, LOWER, RADIUS, ROUTE, _syndrome, ball, close_pairs, fingerprint
 
 #: The bits of the three blocks; the last one is filled up with zeros.
 BLOCKS = ((0, LENGTH), (LENGTH, LENGTH), (2 * LENGTH, 64 - 2 * LENGTH))
-NODE = "tid long, fp long"
+#: Counters in the sketch of a shingle set.
+COUNTERS = 64
 
 
 def words_of(raw: bytes | None) -> list[bytes]:
@@ -34,6 +35,26 @@ def shingle_set(raw: bytes | None, width: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)], np.uint64)).view(np.int64)
 
 
+def sketch(items: np.ndarray) -> bytes:
+    """How many shingles fall into each of COUNTERS classes, 255 at most, after their number.
+
+    Two sketches never differ by more than the sets do, so what they rule out is not similar.
+    """
+    counts = np.bincount((items.view(np.uint64) >> np.uint64(58)).astype(np.int64), minlength=COUNTERS)
+    return len(items).to_bytes(4, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, similarity: float, step: int = 100_000) -> np.ndarray:
+    """For rows of sketches, whether the sets may have a Jaccard similarity of ``similarity``."""
+    out = np.ones(len(a), bool)
+    for lo in range(0, len(a), step):
+        x, y = a[lo : lo + step], b[lo : lo + step]
+        size = (np.ascontiguousarray(x[:, :4]).view("<u4") + np.ascontiguousarray(y[:, :4]).view("<u4"))[:, 0].astype(np.float64)
+        apart = np.abs(x[:, 4:].astype(np.int16) - y[:, 4:]).sum(1)
+        out[lo : lo + step] = apart <= size * (1 - similarity) / (1 + similarity) + 1e-6
+    return out
+
+
 def block_words(fp: np.ndarray) -> list[np.ndarray]:
     return [(fp >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in BLOCKS]
 
@@ -51,11 +72,18 @@ def block_anchors(fp: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, n
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def candidate_links(nodes: DataFrame, active: DataFrame, threshold: int, each: int) -> DataFrame:
-    """For each active node ``each`` of its candidates, those with the smallest names: ``a, b``, distinct.
+def own_codewords(fp: np.ndarray) -> list[np.ndarray]:
+    """The anchor of each block, as the word of the code that lies within RADIUS bits."""
+    starts, patterns, _ = ball(0)
+    return [word ^ patterns[starts[_syndrome(word)]] for word in block_words(fp)]
+
+
+def candidate_links(nodes: DataFrame, active: DataFrame, threshold: int, similarity: float, each: int) -> DataFrame:
+    """For each active node ``each`` of its candidates, the nearest ones: ``a, b``, distinct.
 
-    ``nodes``: tid, fp, label; ``active``: the same and ``tested``, the nodes that were compared with it already.
-    Candidates are within ``threshold`` bits, of another label and not tested.
+    ``nodes``: tid, fp, label, sketch; ``active``: the same and ``tested``, the nodes that were compared with it
+    already. Candidates are within ``threshold`` bits, of another label, not tested and not ruled out by their
+    sketches, where both have one.
     """
     reach = threshold // 3
 
@@ -66,49 +94,58 @@ def candidate_links(nodes: DataFrame, active: DataFrame, threshold: int, each: i
                 at, anchor, mine = block_anchors(fp.view(np.uint64), reach)
                 if own:
                     at, anchor = at[mine], anchor[mine]
-                tested = batch.column(3).take(pa.array(at)) if not own else pa.nulls(len(at), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(tid[at]), pa.array(fp[at]), pa.array(label[at]), tested], names=["key", "tid", "fp", "label", "tested"])
+                tested = batch.column(4).take(pa.array(at)) if not own else pa.nulls(len(at), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(tid[at]), pa.array(fp[at]), pa.array(label[at]), batch.column(3).take(pa.array(at)), tested], names=["key", "tid", "fp", "label", "sketch", "tested"])
 
         return run
 
-    schema = "key long, tid long, fp long, label long, tested array<long>"
-    own = nodes.select("tid", "fp", "label").mapInArrow(deal(True), schema)
-    others = active.select("tid", "fp", "label", "tested").mapInArrow(deal(False), schema)
+    schema = "key long, tid long, fp long, label long, sketch binary, tested array<long>"
+    own = nodes.select("tid", "fp", "label", "sketch").mapInArrow(deal(True), schema)
+    others = active.select("tid", "fp", "label", "sketch", "tested").mapInArrow(deal(False), schema)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = [], []
+        a, b, near = [], [], []
         if left.num_rows and right.num_rows:
             tid, fp, label = (left.column(c).to_numpy() for c in ("tid", "fp", "label"))
             order = np.argsort(tid)
             tid, fp, label = tid[order], fp[order].view(np.uint64), label[order]
             rtid, rfp, rlabel = (right.column(c).to_numpy() for c in ("tid", "fp", "label"))
             rfp = rfp.view(np.uint64)
+            block = left.column("key")[0].as_py() // ROUTE
+            codes, words = own_codewords(fp), block_words(rfp)
+            rows = lambda t: np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            known = not left.column("sketch").null_count and not right.column("sketch").null_count
+            mine, theirs = (rows(left)[order], rows(right)) if known else (None, None)
             tested = right.column("tested").combine_chunks()
             hard = {k: set(tested[k].as_py() or ()) for k in np.flatnonzero(np.array(tested.value_lengths().fill_null(0))).tolist()}
-            found = np.zeros(len(rtid), np.int64)
             for i, j in close_pairs(fp, rfp, threshold):
                 fresh = label[i] != rlabel[j]
+                for e in range(block):  # a pair counts in the first block in which it meets
+                    fresh &= np.bitwise_count(codes[e][i] ^ words[e][j]) > RADIUS + reach
                 i, j = i[fresh], j[fresh]
+                if known and len(i):
+                    fit = may_be_similar(mine[i], theirs[j], similarity)
+                    i, j = i[fit], j[fit]
                 if not len(i):
                     continue
-                by = np.lexsort((i, j))  # for each node its candidates in the order of their ids
-                i, j = i[by], j[by]
+                d = np.bitwise_count(fp[i] ^ rfp[j])
+                by = np.lexsort((i, d, j))  # for each node its candidates, the nearest first
+                i, j, d = i[by], j[by], d[by]
                 if hard:
                     new = np.array([tid[x] not in hard.get(y, ()) for x, y in zip(i.tolist(), j.tolist())], bool)
-                    i, j = i[new], j[new]
+                    i, j, d = i[new], j[new], d[new]
                     if not len(i):
                         continue
                 head = np.flatnonzero(np.concatenate(([True], j[1:] != j[:-1])))
-                place = np.arange(len(j)) - np.repeat(head, np.diff(head, append=len(j))) + found[j]
-                few = place < each
+                few = np.arange(len(j)) - np.repeat(head, np.diff(head, append=len(j))) < each
                 a.append(tid[i[few]])
                 b.append(rtid[j[few]])
-                np.add.at(found, j[few], 1)
-        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+                near.append(d[few].astype(np.int64))
+        return pa.table({n: np.concatenate(x) if x else np.zeros(0, np.int64) for n, x in (("a", a), ("b", b), ("d", near))})
 
-    pairs = own.groupBy("key").cogroup(others.groupBy("key")).applyInArrow(compare, "a long, b long")
-    few = pairs.groupBy("b").agg(F.slice(F.array_sort(F.collect_set("a")), 1, each).alias("a"))
-    return few.select(F.explode("a").alias("a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = own.groupBy("key").cogroup(others.groupBy("key")).applyInArrow(compare, "a long, b long, d long")
+    few = pairs.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "a"))), 1, each).alias("best"))
+    return few.select(F.explode("best.a").alias("a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, width: int = 2, threshold: int = 8, shingle: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,7 +154,7 @@ def near_groups(docs: DataFrame, width: int = 2, threshold: int = 8, shingle: in
     The similarity is that of the sets of ``shingle``-word shingles (A-Z lower-cased, words cut at ASCII white
     space). Equal word sequences are one node. Pairs of nodes within ``threshold`` bits of their ``width``-word
     SimHash are candidates; in rounds, every node is compared with some candidates that have another label and
-    were not compared with it yet, twice as many each round, until none are left. So all links between
+    were not compared with it yet, the nearest first and eight times as many each round, until none are left. So all links between
     candidates take effect, but members of one group are not compared with each other again and again.
     Texts without words are one node. Null ids are larger than all others; repeated rows are repeated; other
     columns are ignored; an empty table gives an empty result.
@@ -130,22 +167,22 @@ def near_groups(docs: DataFrame, width: int = 2, threshold: int = 8, shingle: in
             fp = np.frombuffer(b"".join(fingerprint(t, width, seed) for t in texts), ">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tid), pa.array(fp)], names=["doc_id", "tid", "fp"])
 
-    kind = dict(docs.dtypes)[id_col]
+    kind = dict(small_batches(docs).dtypes)[id_col]
     text = F.col(text_col).cast("string")
     marks = materialise(docs.select(F.col(id_col), text).mapInArrow(look, f"doc_id {kind}, tid long, fp long"))
     nodes = materialise(marks.groupBy("tid").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least")))
-    labelled = nodes.select("tid", "fp", F.col("tid").alias("label"))
+    labelled = nodes.select("tid", "fp", F.col("tid").alias("label"), F.lit(None).cast("binary").alias("sketch"))
     none = F.array().cast("array<long>")
     active = labelled.withColumn("tested", none)
     each, passed, failed, sets, labels = 1, None, None, None, None
     while True:
-        found = materialise(candidate_links(labelled, active, threshold, each))
+        found = materialise(candidate_links(labelled, active, threshold, similarity, each))
         if found.isEmpty():
             break
         ends = found.select(F.col("a").alias("tid")).union(found.select(F.col("b").alias("tid"))).distinct()
         if sets is None:  # every node with a candidate takes part in the first round
             sets = materialise(_sets(docs, nodes.join(ends, "tid", "left_semi"), shingle, id_col, text_col))
-            labelled = materialise(labelled.join(ends, "tid", "left_semi"))
+            labelled = materialise(labelled.drop("sketch").join(sets.select("tid", "sketch"), "tid"))
         x, y = sets.select(F.col("tid").alias("a"), F.col("items").alias("x")), sets.select(F.col("tid").alias("b"), F.col("items").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         alike = both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9
@@ -156,11 +193,11 @@ def near_groups(docs: DataFrame, width: int = 2, threshold: int = 8, shingle: in
         bad = bad.union(bad.select(F.col("b").alias("a"), F.col("a").alias("b")))
         failed = bad if failed is None else failed.union(bad)
         labels = materialise(connected_components(passed))
-        labelled = labelled.select("tid", "fp").join(labels.select(F.col("node").alias("tid"), "label"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+        labelled = labelled.select("tid", "fp", "sketch").join(labels.select(F.col("node").alias("tid"), "label"), "tid", "left").withColumn("label", F.coalesce("label", "tid")).select("tid", "fp", "label", "sketch")
         labelled = materialise(labelled)
         tested = failed.groupBy("a").agg(F.collect_set("b").alias("tested")).withColumnRenamed("a", "tid")
         active = materialise(labelled.join(ends, "tid", "left_semi").join(tested, "tid", "left").withColumn("tested", F.coalesce("tested", none)))
-        each *= 2
+        each *= 8
     if labels is None:
         return marks.join(nodes.select("tid", "least"), "tid").select("doc_id", F.col("least").alias("component_id"))
     named = nodes.join(labels.select(F.col("node").alias("tid"), "label"), "tid", "left").withColumn("label", F.coalesce("label", "tid")).select("tid", "least", "label")
@@ -169,7 +206,7 @@ def near_groups(docs: DataFrame, width: int = 2, threshold: int = 8, shingle: in
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """The shingle set of each node, from the text of its document with the smallest id: ``tid, items``."""
+    """The shingle set of each node, from the text of its document with the smallest id: ``tid, items, sketch``."""
 
     def read(batches):
         for batch in slices(batches):
@@ -178,10 +215,10 @@ def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, id_col: str, text_col
                 if np.uint64(xxhash.xxh64_intdigest(b" ".join(words_of(raw)), 7)).view(np.int64) == tid:  # an id may have several texts
                     tids.append(tid)
                     out.append(shingle_set(raw, shingle))
-            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["tid", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(out, pa.list_(pa.int64())), pa.array([sketch(x) for x in out], pa.binary())], names=["tid", "items", "sketch"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(nodes.select("tid", "least"), F.col("_id").eqNullSafe(F.col("least"))).select("tid", "_text")
-    return rows.mapInArrow(read, "tid long, items array<long>").dropDuplicates(["tid"])
+    return rows.mapInArrow(read, "tid long, items array<long>, sketch binary").dropDuplicates(["tid"])
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read_table, slices
+from .common import read_table, slices, small_batches
 from .crf import Chain, fit
 
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -122,7 +122,7 @@ def quality_rules(docs: DataFrame, chain: Chain | None, min_words: int = 10, max
 
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(label, schema)
+    return small_batches(docs).select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(label, schema)
 
 
 def keep_good(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
@@ -139,7 +139,7 @@ def keep_good(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text
             good &= np.array([c[0] >= least and 100 * c[4] <= most * c[0] for c in counts], bool)
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(choose, schema)
+    return small_batches(docs).mapInArrow(choose, schema)
 
 
 def content_shares(texts: list[bytes | None], chain: Chain | None) -> np.ndarray:

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read_table, slices
+from .common import read_table, slices, small_batches
 
 #: A piece holds spaces at its start or nothing but spaces, and no line feed, so the lattice of a text is a chain
 #: of the lattices of these chunks.
@@ -254,7 +254,7 @@ def encode(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: int = 42,
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), lists], names=["doc_id", "ids"])
                 begin = end
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string"), F.xxhash64(F.col(id_col), F.lit(seed))).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>")
+    return small_batches(docs).select(F.col(id_col), F.col(text_col).cast("string"), F.xxhash64(F.col(id_col), F.lit(seed))).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

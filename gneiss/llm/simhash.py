@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialise, read_table, slices
+from .common import materialise, read_table, slices, small_batches
 from .components import connected_components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str =
             found = b"".join(fingerprint(t, width, seed) for t in batch.column(1).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(found, ">i8").astype(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(calc, f"doc_id {dict(docs.dtypes)[id_col]}, fp long")
+    return small_batches(docs).select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(calc, f"doc_id {dict(docs.dtypes)[id_col]}, fp long")
 
 
 def fold(fp: np.ndarray) -> np.ndarray:

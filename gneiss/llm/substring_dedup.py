@@ -24,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialise, read_table, release_shuffles, shuffle_partitions, slices
+from .common import materialise, read_table, release_shuffles, shuffle_partitions, slices, small_batches
 
 WINDOW = 13
 CODE_BYTES = 2
@@ -362,7 +362,7 @@ def remove_repeats(docs: DataFrame, emit, schema: str, window: int = WINDOW, id_
     ``table`` has ``_id, _text`` and the columns ``more``; ``order`` is the order of its rows to which the lists
     ``texts`` (bytes or None) and ``keeps`` (a mask of words, None where all stay) belong.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0)).alias("b")).first()
     count = max(shuffle_partitions(spark), -(-int(size.b) // BUCKET_BYTES))
     plain = _bucketed(docs, count, id_col, text_col)

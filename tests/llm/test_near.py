@@ -69,7 +69,7 @@ def test_one_large_group_is_not_compared_pair_by_pair(spark, odd, monkeypatch):
     monkeypatch.setattr(near, "candidate_links", lambda *a: seen.append(real(*a)) or seen[-1])
     got = near.near_groups(spark.createDataFrame(rows, odd.schema)).collect()
     assert {r.component_id for r in got} == {0}
-    assert seen[0].count() <= len(rows) and sum(x.count() for x in seen) < 3 * len(rows)
+    assert seen[0].count() <= len(rows) and sum(x.count() for x in seen) < 0.1 * len(rows) * (len(rows) - 1) / 2
 
 
 def test_blocks_cover_the_threshold():
@@ -85,5 +85,21 @@ def test_blocks_cover_the_threshold():
         assert len(own) == 3 and own & set(anchor[at == 1].tolist())
 
 
+def test_sketches_never_rule_out_similar_sets():
+    rng = np.random.default_rng(2)
+    ruled = 0
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < rng.uniform(0.5, 1)], rng.integers(-(1 << 62), 1 << 62, int(rng.integers(0, n // 4 + 2))))))
+        rows = [np.frombuffer(near.sketch(x), np.uint8).reshape(1, -1) for x in (a, b)]
+        fits = bool(near.may_be_similar(*rows, 0.8)[0])
+        both = len(np.intersect1d(a, b))
+        if both >= 0.8 * (len(a) + len(b) - both):
+            assert fits
+        ruled += not fits
+    assert ruled > 50
+
+
 def test_nothing(empty):
     assert near.near_groups(empty).count() == 0 and near.keep_first(empty).count() == 0
