@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read_table, slices
+from .common import read_table, slices, small_batches
 from .crf import Chain, fit
 from .dom import Block, leaf_blocks
 
@@ -165,7 +165,11 @@ def train(pages: DataFrame | None = None, max_pages: int = 300, html_col: str =
         if len(blocks) == len(marks):
             sequences.append((block_features(blocks), np.array(marks, np.int64)))
     if pages is not None:
-        rows = pages.where(F.col(html_col).contains("<article")).select(id_col, F.substring(html_col, 1, 200_000).alias("html")).orderBy(F.xxhash64(id_col), id_col).limit(max_pages).collect()
+        marked = pages.where(F.col(html_col).contains("<article"))
+        chosen = marked.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(max_pages)  # ids only: pages of every partition would add up
+        picked = marked.join(F.broadcast(chosen.distinct()), F.col(id_col) == F.col("_id"), "left_semi")
+        rows = picked.select(id_col, F.substring(html_col, 1, 200_000).alias("html")).limit(2 * max_pages).collect()
+        rows.sort(key=lambda r: (r[0], r.html))
         for r in rows:
             blocks = leaf_blocks(r.html)[:200]
             if blocks:
@@ -210,7 +214,7 @@ def extract_main_text(pages: DataFrame, chain: Chain, id_col: str = "page_id", u
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
-    return pages.select(F.col(id_col), F.col(url_col), F.col(html_col).cast("string")).mapInArrow(read, f"page_id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long")
+    return small_batches(pages).select(F.col(id_col), F.col(url_col), F.col(html_col).cast("string")).mapInArrow(read, f"page_id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
