@@ -1,8 +1,12 @@
-"""Near copies by SimHash anchors and verified similarity: the operator of ``simhash`` with a wide threshold.
+"""Near copies by SimHash anchors, shared rare shingles and verified similarity.
 
 Fingerprints of short shingles find candidates with a wide threshold; the similarity of sets of longer shingles
 decides. Three blocks of each fingerprint have anchors of their own: of a pair within ``threshold`` bits one
 block at least differs by a third of them at most, so each block is covered with radius plus that third.
+
+SimHash finds most links cheaply, but no number of bits holds for all pairs of one similarity. What it leaves in
+different groups is searched exactly: in any one order of all shingles, similar sets share one of the first
+``n - ceil(similarity * n) + 1`` shingles of each (prefix filter). The order puts rare shingles first.
 """
 
 from __future__ import annotations
@@ -20,6 +24,10 @@ from .simhash import DATA_BITS, LENGTH, LOWER, RADIUS, ROUTE, _syndrome, ball, c
 BLOCKS = ((0, LENGTH), (LENGTH, LENGTH), (2 * LENGTH, 64 - 2 * LENGTH))
 #: Counters in the sketch of a shingle set.
 COUNTERS = 64
+#: Counters for the frequencies of shingles, and how many of them are one row.
+BUCKET_BITS, CHUNK = 20, 4096
+#: One document of so many is counted; frequencies only choose the order of shingles, any order gives the same result.
+COUNTED = 8
 
 
 def words_of(raw: bytes | None) -> list[bytes]:
@@ -31,8 +39,13 @@ def shingle_set(raw: bytes | None, width: int) -> np.ndarray:
     words = words_of(raw)
     if not words:
         return np.zeros(0, np.int64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(width, len(words))
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)], np.uint64)).view(np.int64)
+    digest = xxhash.xxh64_digest
+    found = b"".join([digest(joined[s:e], 42) for s, e in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())])
+    return np.unique(np.frombuffer(found, ">u8").astype(np.uint64)).view(np.int64)
 
 
 def sketch(items: np.ndarray) -> bytes:
@@ -148,14 +161,109 @@ def candidate_links(nodes: DataFrame, active: DataFrame, threshold: int, similar
     return few.select(F.explode("best.a").alias("a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _buckets(items: np.ndarray) -> np.ndarray:
+    return (items.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def shingle_counts(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> np.ndarray:
+    """How often shingles of each of 2 ** BUCKET_BITS classes occur in one document of COUNTED."""
+
+    def count(batches):
+        total = np.zeros(1 << BUCKET_BITS, np.int32)
+        for batch in slices(batches):
+            for raw in batch.column(0).cast(pa.binary()).to_pylist():
+                np.add.at(total, _buckets(shingle_set(raw, shingle)), 1)
+        rows = total.reshape(-1, CHUNK)
+        some = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([rows[k].tobytes() for k in some], pa.binary())], names=["chunk", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+
+    schema = "chunk long, counts binary"
+    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(COUNTED)) == 0).select(F.col(text_col).cast("string"))
+    counts = np.zeros((1 << BUCKET_BITS) // CHUNK * CHUNK, np.int32).reshape(-1, CHUNK)
+    for r in some.mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, schema).collect():  # 4 MB at most
+        counts[r.chunk] = np.frombuffer(bytes(r.counts), np.int32)
+    return counts.reshape(-1)
+
+
+def prefix(items: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, rare ones first: sets that are similar share one of them."""
+    keep = len(items) - int(np.ceil(similarity * len(items) - 1e-6)) + 1
+    return items[np.lexsort((items, counts[_buckets(items)]))[:keep]]
+
+
+def prefixes(docs: DataFrame, counts: np.ndarray, shingle: int, similarity: float, text_col: str) -> DataFrame:
+    """For each distinct text with words: ``tid, n, sketch, prefix``."""
+
+    def run(batches):
+        for batch in slices(batches, 200):
+            rows, seen = [], set()
+            for raw in batch.column(0).cast(pa.binary()).to_pylist():
+                words = words_of(raw)
+                tid = xxhash.xxh64_intdigest(b" ".join(words), 7)
+                if words and tid not in seen:
+                    seen.add(tid)
+                    items = shingle_set(raw, shingle)
+                    rows.append((tid, len(items), sketch(items), prefix(items, counts, similarity)))
+            tids = np.array([r[0] for r in rows], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tids), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["tid", "n", "sketch", "prefix"])
+
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "tid long, n long, sketch binary, prefix array<long>").dropDuplicates(["tid"])
+
+
+def prefix_links(members: DataFrame, nodes: DataFrame, similarity: float, each: int) -> DataFrame:
+    """For each node ``each`` of the nodes that share a shingle of ``members`` with it: ``a, b``, distinct.
+
+    ``members``: token, tid; ``nodes``: tid, n, sketch, label, tested. Pairs have different labels, were not tested
+    yet and are not ruled out by sizes or sketches; the nearest sizes come first.
+    """
+
+    def compare(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows = batch.column(0)[k].values
+                tid, n, label = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("tid", "n", "label"))
+                sketches = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(len(tid), -1)
+                tested = rows.field("tested")
+                hard = {x: set(tested[x].as_py()) for x in np.flatnonzero(np.array(tested.value_lengths().fill_null(0))).tolist()}
+                step = max(1, (1 << 20) // len(tid))
+                for lo in range(0, len(tid), step):
+                    j, i = np.nonzero((label[lo : lo + step, None] != label) & (np.minimum(n[lo : lo + step, None], n) >= similarity * np.maximum(n[lo : lo + step, None], n) - 1e-6))
+                    j += lo
+                    fit = may_be_similar(sketches[i], sketches[j], similarity)
+                    i, j = i[fit], j[fit]
+                    if hard:
+                        new = np.array([tid[x] not in hard.get(y, ()) for x, y in zip(i.tolist(), j.tolist())], bool)
+                        i, j = i[new], j[new]
+                    if not len(i):
+                        continue
+                    d = np.abs(n[i] - n[j])
+                    by = np.lexsort((i, d, j))
+                    i, j, d = i[by], j[by], d[by]
+                    head = np.flatnonzero(np.concatenate(([True], j[1:] != j[:-1])))
+                    few = np.arange(len(j)) - np.repeat(head, np.diff(head, append=len(j))) < each
+                    yield pa.RecordBatch.from_arrays([pa.array(tid[i[few]]), pa.array(tid[j[few]]), pa.array(d[few])], names=["a", "b", "d"])
+
+    rows = members.join(nodes, "tid").groupBy("token").agg(F.sort_array(F.collect_list(F.struct("tid", "n", "label", "sketch", "tested"))).alias("rows"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    # shingles with the same nodes give the same pairs
+    groups = rows.where("lo <> hi").groupBy(F.xxhash64("rows.tid").alias("h"), F.xxhash64(F.reverse("rows.tid")).alias("g")).agg(F.first("rows").alias("rows"))
+    pairs = groups.select("rows").mapInArrow(compare, "a long, b long, d long")
+    few = pairs.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "a"))), 1, each).alias("best"))
+    return few.select(F.explode("best.a").alias("a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, width: int = 2, threshold: int = 8, shingle: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id``: rows whose texts are linked by a similarity of ``similarity`` or more share the smallest id.
 
     The similarity is that of the sets of ``shingle``-word shingles (A-Z lower-cased, words cut at ASCII white
     space). Equal word sequences are one node. Pairs of nodes within ``threshold`` bits of their ``width``-word
-    SimHash are candidates; in rounds, every node is compared with some candidates that have another label and
-    were not compared with it yet, the nearest first and eight times as many each round, until none are left. So all links between
-    candidates take effect, but members of one group are not compared with each other again and again.
+    SimHash are candidates first, then all pairs that share a shingle of their prefixes, which every similar pair
+    does. In rounds, every node is compared with some candidates that have another label and
+    were not compared with it yet, the nearest first and eight times as many each round, until none are left. So all
+    similar pairs take effect, but members of one group are not compared with each other again and again.
     Texts without words are one node. Null ids are larger than all others; repeated rows are repeated; other
     columns are ignored; an empty table gives an empty result.
     """
@@ -175,14 +283,10 @@ def near_groups(docs: DataFrame, width: int = 2, threshold: int = 8, shingle: in
     none = F.array().cast("array<long>")
     active = labelled.withColumn("tested", none)
     each, passed, failed, sets, labels = 1, None, None, None, None
-    while True:
-        found = materialise(candidate_links(labelled, active, threshold, similarity, each))
-        if found.isEmpty():
-            break
-        ends = found.select(F.col("a").alias("tid")).union(found.select(F.col("b").alias("tid"))).distinct()
-        if sets is None:  # every node with a candidate takes part in the first round
-            sets = materialise(_sets(docs, nodes.join(ends, "tid", "left_semi"), shingle, id_col, text_col))
-            labelled = materialise(labelled.drop("sketch").join(sets.select("tid", "sketch"), "tid"))
+
+    def verify(found: DataFrame, sets: DataFrame) -> None:
+        """Compare the sets of the pairs found, and bring the links, the failures and the labels up to date."""
+        nonlocal passed, failed, labels
         x, y = sets.select(F.col("tid").alias("a"), F.col("items").alias("x")), sets.select(F.col("tid").alias("b"), F.col("items").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         alike = both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9
@@ -193,18 +297,64 @@ def near_groups(docs: DataFrame, width: int = 2, threshold: int = 8, shingle: in
         bad = bad.union(bad.select(F.col("b").alias("a"), F.col("a").alias("b")))
         failed = bad if failed is None else failed.union(bad)
         labels = materialise(connected_components(passed))
-        labelled = labelled.select("tid", "fp", "sketch").join(labels.select(F.col("node").alias("tid"), "label"), "tid", "left").withColumn("label", F.coalesce("label", "tid")).select("tid", "fp", "label", "sketch")
-        labelled = materialise(labelled)
+
+    def relabel(rows: DataFrame) -> DataFrame:
+        if labels is None:
+            return rows.withColumn("label", F.col("tid"))
+        return rows.drop("label").join(labels.select(F.col("node").alias("tid"), "label"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+
+    def with_tested(rows: DataFrame) -> DataFrame:
+        if failed is None:
+            return rows.withColumn("tested", none)
         tested = failed.groupBy("a").agg(F.collect_set("b").alias("tested")).withColumnRenamed("a", "tid")
-        active = materialise(labelled.join(ends, "tid", "left_semi").join(tested, "tid", "left").withColumn("tested", F.coalesce("tested", none)))
+        return rows.join(tested, "tid", "left").withColumn("tested", F.coalesce("tested", none))
+
+    while True:
+        found = materialise(candidate_links(labelled, active, threshold, similarity, each))
+        if found.isEmpty():
+            break
+        ends = _ends(found)
+        if sets is None:  # every node with a candidate takes part in the first round
+            sets = materialise(_sets(docs, nodes.join(ends, "tid", "left_semi"), shingle, id_col, text_col))
+            labelled = materialise(labelled.drop("sketch").join(sets.select("tid", "sketch"), "tid"))
+        verify(found, sets)
+        labelled = materialise(relabel(labelled).select("tid", "fp", "label", "sketch"))
+        active = materialise(with_tested(labelled.join(ends, "tid", "left_semi")))
+        each *= 8
+
+    first = materialise(prefixes(docs, shingle_counts(docs, shingle, id_col, text_col), shingle, similarity, text_col))
+    token = relabel(first.select("tid", F.explode("prefix").alias("token")))
+    shared = token.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    members = materialise(first.select("tid", F.explode("prefix").alias("token")).join(shared, "token", "left_semi"))
+    taking = materialise(first.select("tid", "n", "sketch").join(members.select("tid").distinct(), "tid", "left_semi"))
+    each = 1
+    while True:
+        found = materialise(prefix_links(members, with_tested(relabel(taking)), similarity, each))
+        if found.isEmpty():
+            break
+        every = materialise(_ends(found))
+        if each == 1:  # every node with a candidate takes part in the first round
+            members, taking = (materialise(x.join(every, "tid", "left_semi")) for x in (members, taking))
+        ends = every
+        if sets is not None:
+            ends = ends.join(sets.select("tid"), "tid", "left_anti")
+        new = materialise(nodes.join(ends, "tid", "left_semi"))
+        if not new.isEmpty():
+            more = materialise(_sets(docs, new, shingle, id_col, text_col))
+            sets = more if sets is None else sets.union(more)
+        verify(found, materialise(sets.join(every, "tid", "left_semi")))
         each *= 8
     if labels is None:
         return marks.join(nodes.select("tid", "least"), "tid").select("doc_id", F.col("least").alias("component_id"))
-    named = nodes.join(labels.select(F.col("node").alias("tid"), "label"), "tid", "left").withColumn("label", F.coalesce("label", "tid")).select("tid", "least", "label")
+    named = relabel(nodes.select("tid", "least"))
     best = named.groupBy("label").agg(F.min("least").alias("component_id"))
     return marks.join(named.join(best, "label").select("tid", "component_id"), "tid").select("doc_id", "component_id")
 
 
+def _ends(found: DataFrame) -> DataFrame:
+    return found.select(F.col("a").alias("tid")).union(found.select(F.col("b").alias("tid"))).distinct()
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """The shingle set of each node, from the text of its document with the smallest id: ``tid, items, sketch``."""
 

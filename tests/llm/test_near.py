@@ -56,6 +56,43 @@ def test_near_copies_are_found(spark, odd):
     assert all(want[a] == want[b] for a in got for b in [got[a]])  # and nothing else is linked
 
 
+def edited(rng, kind, n):
+    """A text and a copy with one edit that leaves 0.80 to 0.85 of their five-word shingles."""
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    other = lambda k: [f"v{rng.randint(0, 10**6)}" for _ in range(k)]
+    at = rng.randrange(5, n // 2)
+    k = n // 11  # shared (n - k) of (n + k)
+    copy = {"block": base[:at] + other(k - 4) + base[at + k - 4 :], "append": base + other(n // 5), "truncate": base[: n - n // 6]}[kind]
+    return " ".join(base), " ".join(copy)
+
+
+def test_block_append_and_truncate_edits_are_all_found(spark, odd):
+    rng = random.Random(11)
+    rows = []
+    for kind in ("block", "append", "truncate"):
+        for _ in range(40):
+            texts = edited(rng, kind, rng.randint(120, 400))
+            a, b = map(shingles, texts)
+            assert 0.8 <= len(a & b) / len(a | b) <= 0.85, kind
+            rows += [(len(rows) + k, t, "en", "s", 1) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in near.near_groups(spark.createDataFrame(rows, odd.schema).repartition(20)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(len(rows))}
+
+
+def test_similar_sets_share_a_shingle_of_their_prefixes():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 5, 1 << near.BUCKET_BITS).astype(np.int32)
+    alike = 0
+    for _ in range(300):
+        a = np.unique(rng.integers(-(1 << 62), 1 << 62, int(rng.integers(1, 200))))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < rng.uniform(0.75, 1)], rng.integers(-(1 << 62), 1 << 62, int(rng.integers(0, len(a) // 8 + 1))))))
+        both = len(np.intersect1d(a, b))
+        if both and both >= 0.8 * (len(a) + len(b) - both) - 1e-9:
+            alike += 1
+            assert len(np.intersect1d(near.prefix(a, counts, 0.8), near.prefix(b, counts, 0.8)))
+    assert alike > 50
+
+
 def test_one_large_group_is_not_compared_pair_by_pair(spark, odd, monkeypatch):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(200)]
