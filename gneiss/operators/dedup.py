@@ -1,4 +1,4 @@
-"""Duplicates by content: a file's signature is its size and the digest of its beginning."""
+"""Duplicates by content: a file's signature is its size and the digest of its beginning, or of all of it."""
 
 from __future__ import annotations
 
@@ -11,6 +11,10 @@ def signature(content: Column) -> list[Column]:
     return [F.octet_length(content).alias("size"), F.sha2(F.substring(content, 1, SIGNATURE_BYTES), 256).alias("digest")]
 
 
+def full_signature(content: Column) -> list[Column]:
+    return [F.octet_length(content).alias("size"), F.sha2(content, 256).alias("digest")]
+
+
 def first_of_each(files: DataFrame, order: list[str]) -> DataFrame:
     """Of files with one signature (``size, digest``) the first by ``order``."""
     from .relations import best_row

@@ -87,3 +87,18 @@ def test_entry_without_the_optional_folder(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 50 and set(s) <= set(q) and not any(n.startswith('op') and n[2].isdigit() for n in q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, timeout=100).returncode == 0
+
+
+def test_duplicates_are_equal_to_the_last_byte(spark, tmp_path):
+    head = "x" * 65_536
+    rows = [(1, head + "a"), (2, head + "b"), (3, head + "a"), (4, "short"), (5, "shorT")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r.size, r.copies, r.kept, r.redundant) for r in catalog.QUERIES["dup_groups"](spark, str(tmp_path)).collect()] == [(65_537, 2, 1, 1)]
+    assert tuple(catalog.QUERIES["dup_redundant"](spark, str(tmp_path)).first()) == (1, 1)
+    assert catalog.QUERIES["content_dedup"](spark, str(tmp_path)).count() == 3  # the signature of 64 KB, as it was
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+@pytest.mark.parametrize("name", ["dup_groups", "dup_redundant"])
+def test_duplicates_match_sql(spark, name):
+    test_catalogue_matches_sql(spark, name)
