@@ -10,7 +10,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|[^<]++|<",
     re.S,
 )
-_ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|$))""", re.I)
+#: One attribute of any name, with its value; a quoted value without its end is a value up to the next space.
+_ATTR = re.compile(r"""([^\s"'/=>][^\s"'/=>]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)?+)?+|"[^"]*+"|'[^']*+'""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is never text of the page.
 SKIP = frozenset("script style noscript template iframe svg math object canvas audio video head title textarea select button datalist xmp noembed noframes".split())
@@ -118,9 +119,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     break
         terms = stack[-1][1] if stack else frozenset()
         hidden = bool(stack and stack[-1][2]) or tag in SKIP
-        if attrs and "=" in attrs or "hidden" in attrs:
+        if attrs and "=" in attrs or "hidden" in attrs.lower():
             for a in _ATTR.finditer(attrs):
-                name, value = a.group(1).lower(), (a.group(2) or "").strip("\"'").lower()
+                name, value = (a.group(1) or "").lower(), (a.group(2) or "").strip("\"'").lower()
                 if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     hidden = True
                 elif name in ("class", "id", "role", "itemprop"):

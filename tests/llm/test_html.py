@@ -47,3 +47,12 @@ def test_frame(spark, chain):
     text = "Some words that make a sentence of the article, and more of them."
     assert got == sorted([(1, "u", text, len(text)), (2, None, "", 0), (None, "v", "", 0), (1, "u", "", 0)], key=repr)
     assert html_extract.extract_main_text(df.limit(0), chain).count() == 0
+
+
+def test_hidden_is_the_name_of_an_attribute_only():
+    for shown in ('title="Hidden gems of Rome"', "data-title='The hidden truth'", 'aria-label="a hidden b"', 'data-x="a/hidden"', "data-hidden=1", 'title = "x hidden y" class=a', 'alt=it"s href=hidden'):
+        assert [b.text for b in leaf_blocks(f"<article {shown}><p>Some text.</p></article>")] == ["Some text."], shown
+    for away in ("hidden", "HIDDEN", 'hidden=""', "class=a hidden", 'class="a"hidden', "title='x' hidden=hidden", 'title="Hidden gems" style="display: none"', "hidden/"):
+        assert leaf_blocks(f"<div {away}>Some text.</div>") == [], away
+    (block,) = leaf_blocks('<p title="class=no hidden" class="yes you" ID=three>Some text.</p>')
+    assert block.terms == {"yes", "you", "three"}
