@@ -14,43 +14,58 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import read_table, slices, small_batches
 
 #: A piece holds spaces at its start or nothing but spaces, and no line feed, so the lattice of a text is a chain
-#: of the lattices of these chunks.
+#: of the lattices of these chunks. Models with other pieces are refused.
 CHUNK = re.compile(r" *[^ \n]+|\n| +")
-MAX_LINEAR = 64
 ONE = 1 << 31  # probabilities are counted in units of 1 / ONE, so samples do not depend on batches
 
 
-class Pieces:
-    """The pieces of a model file as an automaton with dense moves, their weights, and the bytes behind each id."""
+class PieceBytes:
+    """The bytes behind each id of a model file: all that decoding needs."""
 
-    def __init__(self, path: str, alpha: float):
+    def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes_of: list[bytes] = []
         self.texts: dict[str, int] = {}
-        byte_id = {}
-        weights = np.zeros(model.get_piece_size())
+        self.byte_id: dict[int, int] = {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
-                byte_id[int(piece[3:5], 16)] = i
+                self.byte_id[int(piece[3:5], 16)] = i
                 self.bytes_of.append(bytes([int(piece[3:5], 16)]))
-                continue
-            if model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
+            elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.bytes_of.append(b"")
-                continue
-            text = piece.replace("\u2581", " ")
-            self.bytes_of.append(text.encode())
-            # Scores of a merge-based model are merge ranks, not log-probabilities: take Zipf's law over them.
-            weights[i] = -alpha * math.log(2 + len(self.texts))
-            self.texts[text] = i
-        self.fallback = np.array([byte_id[b] for b in range(256)], np.int32)
+            else:
+                text = piece.replace("\u2581", " ")
+                if not CHUNK.fullmatch(text):
+                    raise ValueError(f"piece {i} spans chunks: {text!r}")
+                self.bytes_of.append(text.encode())
+                self.texts[text] = i
+        if len(self.byte_id) < 256:
+            raise ValueError("the model has no byte pieces: not all texts can be encoded without loss")
+        self.size = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.begin = np.cumsum(self.size) - self.size
+
+    def decode_flat(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all lists of ids one after another, and where each list's bytes end."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        at = np.repeat(self.begin[ids] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.flat[at].tobytes(), np.concatenate(([0], ends))[offsets]
+
+
+class Pieces(PieceBytes):
+    """The pieces of a model file as an automaton with dense moves, their weights, and the bytes behind each id."""
+
+    def __init__(self, path: str, alpha: float):
+        super().__init__(path)
+        # Scores of a merge-based model are merge ranks, not log-probabilities: take Zipf's law over them.
+        self.weights = np.zeros(len(self.bytes_of))
+        self.weights[list(self.texts.values())] = -alpha * np.log(2 + np.arange(len(self.texts)))
+        self.fallback = np.array([self.byte_id[b] for b in range(256)], np.int32)
         self.byte_weight = -alpha * math.log(2 + len(self.texts))
-        self.weights = weights
-        #: Added per character. All segmentations of a chunk have its length, so it changes no probability; it
-        #: keeps products of weights near one.
-        self.lift = alpha * 2.5
         self.first = np.zeros(0x110000, np.int32)
         self.kind = np.zeros(0x110000, np.int16)
         later = sorted({c for t in self.texts for c in t[1:]})
@@ -112,33 +127,31 @@ class Pieces:
 
     def filtered(self, chunks: list[str], length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Forward filtering. The edges sorted by end node: start node, end node, piece, and the upper bound of
-        the edge's share in its end node's mass, in units of 1 / ONE."""
+        the edge's share in its end node's mass, in units of 1 / ONE.
+
+        Masses are logarithms, and each node's shares are taken relative to its largest one, so neither rare
+        characters nor any ``alpha`` or length make a mass vanish.
+        """
         start, end, piece, weight = self.edges(chunks, length)
         first = np.cumsum(length + 1) - (length + 1)
         node_place = np.arange(int((length + 1).sum())) - np.repeat(first, length + 1)
         head = np.concatenate(([True], end[1:] != end[:-1]))
-        long = bool((length > MAX_LINEAR).any())
-        share = weight if long else np.exp(weight + self.lift * (node_place[end] - node_place[start]))
-        ahead = np.zeros(len(node_place)) if long else np.ones(len(node_place))
-        mass = np.empty(len(end))
         place = node_place[end]
         order = np.argsort(place.astype(np.uint16), kind="stable") if length.max() < 65536 else np.argsort(place, kind="stable")
         cuts = np.cumsum(np.bincount(place))
-        for lo, hi in zip(cuts[:-1], cuts[1:]):  # all nodes at one distance from their chunk's start
-            e = order[lo:hi]
-            own = share[e]
-            heads = np.flatnonzero(head[e])
-            if long:
-                own = own + ahead[start[e]]
-                top = np.maximum.reduceat(own, heads)
-                own = np.exp(own - np.repeat(top, np.diff(heads, append=len(e))))
-                total = np.add.reduceat(own, heads)
-                ahead[end[e[heads]]] = top + np.log(total)
-            else:
-                own = own * ahead[start[e]]
-                total = np.add.reduceat(own, heads)
-                ahead[end[e[heads]]] = total
-            mass[e] = own / np.repeat(total, np.diff(heads, append=len(e)))
+        ahead = np.zeros(len(node_place))
+        mass = np.empty(len(end))
+        by_place, from_node, is_head = weight[order], start[order], head[order]
+        to_node = end[order]
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):  # all nodes at one distance from their chunk's start
+            own = by_place[lo:hi] + ahead[from_node[lo:hi]]
+            heads = np.flatnonzero(is_head[lo:hi])
+            count = np.diff(heads, append=hi - lo)
+            top = np.maximum.reduceat(own, heads)
+            own = np.exp(own - np.repeat(top, count))
+            total = np.add.reduceat(own, heads)
+            ahead[to_node[lo:hi][heads]] = top + np.log(total)
+            mass[order[lo:hi]] = own / np.repeat(total, count)
         heads = np.flatnonzero(head)
         count = np.diff(heads, append=len(end))
         run = mass
@@ -176,14 +189,7 @@ def encode_batch(model: Pieces, texts: list[str | None], keys: np.ndarray) -> tu
     code = np.fromiter(map(index.__getitem__, whole), np.int64, len(whole))
     held = list(index)
     length = np.fromiter(map(len, held), np.int64, len(held))
-    usual = int(np.searchsorted(length, MAX_LINEAR, "right"))
-    parts, shift = [], 0
-    for lo, hi in ((0, usual), (usual, len(held))):  # long chunks are filtered in logarithms
-        if lo < hi:
-            a, b, piece, bound = model.filtered(held[lo:hi], length[lo:hi])
-            parts.append((a + shift, b + shift, piece, bound))
-            shift += int((length[lo:hi] + 1).sum())
-    start, end, piece, bound = (np.concatenate(x) for x in zip(*parts))
+    start, end, piece, bound = model.filtered(held, length)
     nodes = np.cumsum(length + 1) - (length + 1)  # of each chunk, its first node
     table = end * (2 * ONE) + bound  # sorted: by node, then by bound
 
@@ -195,7 +201,9 @@ def encode_batch(model: Pieces, texts: list[str | None], keys: np.ndarray) -> tu
     first = nodes[code]
     node, active = first + size, np.arange(len(code))
     steps: list[tuple[np.ndarray, np.ndarray]] = []
-    while len(active):
+    for _ in range(int(length[-1])):  # a chunk has as many pieces as characters at most
+        if not len(active):
+            break
         place = origin[active] + node - first[active]
         draw = (_mix(seed[active] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
         edge = np.searchsorted(table, node * (2 * ONE) + draw, side="right")
@@ -203,6 +211,8 @@ def encode_batch(model: Pieces, texts: list[str | None], keys: np.ndarray) -> tu
         node = start[edge]
         go = node > first[active]
         active, node = active[go], node[go]
+    if len(active):
+        raise RuntimeError("backward sampling left the lattice")
     taken = np.bincount(np.concatenate([a for a, _ in steps]), minlength=len(code))
     last = np.cumsum(taken)
     edges = np.empty(int(last[-1]), np.int64)
@@ -222,7 +232,12 @@ def encode_batch(model: Pieces, texts: list[str | None], keys: np.ndarray) -> tu
     return np.concatenate(([0], np.cumsum(per_row))), ids
 
 
-def decode_ids(model: Pieces, ids) -> str:
+@lru_cache(4)
+def piece_bytes(path: str) -> PieceBytes:
+    return PieceBytes(path)
+
+
+def decode_ids(model: PieceBytes, ids) -> str:
     """The text of ids, without the space that encoding puts in front; the inverse of any sampled encoding."""
     return b"".join(map(model.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
@@ -233,7 +248,7 @@ def encode(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: int = 42,
     A segmentation is drawn with probability proportional to the product of its pieces' weights to the power
     ``alpha`` (larger: closer to the best one), by exact forward filtering and backward sampling over the whole
     text, seeded by ``seed`` and the row's id; characters that no piece covers become byte pieces. A null
-    text gives null ids, an empty one none. Equal ids with equal texts give equal results; a null id has a seed of
+    text gives null ids, an empty one none. Texts of any length are sampled whole. Equal ids with equal texts give equal results; a null id has a seed of
     its own; other columns are ignored. ``model_path`` must exist on every worker.
     """
 
@@ -258,18 +273,32 @@ def encode(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: int = 42,
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``doc_id, text``: the exact text that was encoded; null ids give a null text."""
+    """``doc_id, ids, text``: the exact text that was encoded; null ids give a null text, empty ids an empty one.
+
+    Ids outside the model are an error. Other columns are ignored; repeated rows are repeated.
+    """
 
     def run(batches):
-        model = pieces(model_path, 1.0)
+        model = piece_bytes(model_path)
         for batch in slices(batches):
-            texts = [None if ids is None else decode_ids(model, ids) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            lists = batch.column(1)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            ids = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+            raw, ends = model.decode_flat(ids, offsets - offsets[0])
+            there = lists.is_valid().to_pylist()
+            texts = [raw[a:b].decode("utf-8", "replace")[1:] if ok else None for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), there)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
-    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, f"doc_id {dict(encoded.dtypes)[id_col]}, text string")
+    kinds = dict(encoded.dtypes)
+    return encoded.select(F.col(id_col), F.col(ids_col).cast("array<int>")).mapInArrow(run, f"doc_id {kinds[id_col]}, ids array<int>, text string")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = "/opt/tokenizers/piece_bpe_32k.model") -> DataFrame:
-    """Sampled ids of every document."""
-    found = encode(read_table(spark, sf_dir, "documents", "doc_id", "text"), model_path)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
+    """Sampled ids of every document, and the SHA-256 of the text that decoding them gives back.
+
+    Nulls, empty and very long texts, repeated rows and empty tables: as in ``encode`` and ``decode``; a null text has
+    null ``n_ids``, ``ids`` and ``decoded_sha256``.
+    """
+    found = decode(encode(read_table(spark, sf_dir, "documents", "doc_id", "text"), model_path), model_path)
+    count = F.when(F.col("ids").isNotNull(), F.size("ids").cast("long"))
+    return found.select("doc_id", count.alias("n_ids"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

@@ -53,6 +53,61 @@ def test_long_chunks_take_the_same_law():
         assert sp.decode_ids(model, ids[a:b].tolist()) == t
 
 
+@pytest.mark.parametrize("alpha", [0.1, 1.0, 5.0, 8.0])
+def test_uncovered_characters_among_words(alpha):
+    """Characters of two, three and four bytes without a piece, 1 to 64 of them, next to words; and rare covered ones."""
+    model = sp.pieces(MODEL, alpha)
+    texts = [f"{c * k} word{c * k}x {c * (65 - k)}" for c in "ʬ㐀😀" for k in (1, 2, 7, 10, 19, 20, 21, 26, 33, 40, 63, 64)]
+    texts += ["😀" * 30 + "word", "𒀀" * 30 + " word", "qzxjkwvqz" * 7, "-" * 63, "", " ", "\n", "  \n \n"]
+    many = [t for t in texts for _ in range(20)]
+    offsets, ids = sp.encode_batch(model, many, np.arange(len(many)))
+    raw, ends = model.decode_flat(ids, offsets)
+    assert [raw[a:b].decode()[1:] if b > a else "" for a, b in zip(ends[:-1], ends[1:])] == many
+    assert sp.decode_ids(model, ids[: offsets[1]].tolist()) == many[0]
+
+
+def test_law_with_an_uncovered_character():
+    model = sp.pieces(MODEL, 1.0)
+    n = 40_000
+    offsets, ids = sp.encode_batch(model, ["no㐀he"] * n, np.arange(n))
+    seen = Counter(tuple(ids[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:]))
+    raw = tuple(model.fallback[list("㐀".encode())].tolist())
+    every = [((*a, *raw, *b), u + v) for a, u in segmentations(model, " no") for b, v in segmentations(model, "he")]
+    mass = sum(math.exp(w) for _, w in every)
+    assert set(seen) <= {s for s, _ in every}
+    for s, w in every:
+        p = math.exp(w) / mass
+        assert abs(seen[s] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-4
+
+
+def test_models_that_break_the_assumptions_are_refused(monkeypatch):
+    import sentencepiece
+
+    class Odd:
+        def __init__(self, model_file):
+            pass
+
+        get_piece_size = lambda self: 1
+        id_to_piece = lambda self, i: "a\u2581b"
+        is_byte = is_control = is_unknown = is_unused = lambda self, i: False
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Odd)
+    with pytest.raises(ValueError, match="spans chunks"):
+        sp.PieceBytes("x")
+    Odd.id_to_piece = lambda self, i: "ab"
+    with pytest.raises(ValueError, match="byte pieces"):
+        sp.PieceBytes("x")
+
+
+def test_query_decodes_to_its_input(spark, clashing, odd_rows, tmp_path):
+    import hashlib
+
+    clashing.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.doc_id, r.n_ids, r.decoded_sha256) for r in sp.op1_sentencepiece(spark, str(tmp_path)).collect()]
+    assert sorted(((i, s) for i, _, s in got), key=repr) == sorted(((r[0], None if r[1] is None else hashlib.sha256(r[1].encode()).hexdigest()) for r in odd_rows), key=repr)
+    assert all((n is None) == (s is None) for _, n, s in got)
+
+
 def test_ids_are_known_to_the_library():
     import sentencepiece
 
