@@ -191,7 +191,9 @@ def encode_batch(model: Pieces, texts: list[str | None], keys: np.ndarray) -> tu
     length = np.fromiter(map(len, held), np.int64, len(held))
     start, end, piece, bound = model.filtered(held, length)
     nodes = np.cumsum(length + 1) - (length + 1)  # of each chunk, its first node
-    table = end * (2 * ONE) + bound  # sorted: by node, then by bound
+    entry = np.zeros(int(nodes[-1] + length[-1]) + 1, np.int64)  # of each node, its first edge
+    heads = np.flatnonzero(np.concatenate(([True], end[1:] != end[:-1])))
+    entry[end[heads]] = heads
 
     row = np.repeat(np.arange(len(texts)), [len(o) for o in own])
     size = length[code]
@@ -206,7 +208,11 @@ def encode_batch(model: Pieces, texts: list[str | None], keys: np.ndarray) -> tu
             break
         place = origin[active] + node - first[active]
         draw = (_mix(seed[active] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
-        edge = np.searchsorted(table, node * (2 * ONE) + draw, side="right")
+        edge = entry[node]
+        late = np.flatnonzero(bound[edge] <= draw)
+        while len(late):  # the last edge of a node has the bound ONE, which no draw reaches
+            edge[late] += 1
+            late = late[bound[edge[late]] <= draw[late]]
         steps.append((active, edge))
         node = start[edge]
         go = node > first[active]
