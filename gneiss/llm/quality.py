@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -18,7 +19,7 @@ UPPER = bytes(range(65, 91))
 DIGITS = b"0123456789"
 MARKS = b"!?~=+_^@{}[]\\/"
 ENDS = (b".", b"!", b"?", b":", b";", b'"', b"'", b")", b"\xc2\xbb", b"\xe2\x80\x9d", b"\xe3\x80\x82")
-WIDTH = 13
+WIDTH = 14
 
 
 def line_features(lines: list[bytes]) -> np.ndarray:
@@ -36,7 +37,7 @@ def line_features(lines: list[bytes]) -> np.ndarray:
         bare = line.strip(BLANKS)
         again = n > 0 and line in seen
         seen.add(line)
-        rows.append((1.0, min(np.log1p(solid), 8.0) / 8.0, float(n == 0), float(0 < n <= 2), min(solid / max(n, 1), 20.0) / 20.0, upper, float(upper > 0.5), symbols * 4, float(symbols > 0.08), digits, marks * 4, float(again), float(bare.endswith(ENDS))))
+        rows.append((1.0, min(np.log1p(solid), 8.0) / 8.0, float(n == 0), float(0 < n <= 2), min(solid / max(n, 1), 20.0) / 20.0, upper, float(upper > 0.5), symbols * 4, float(symbols > 0.08), digits, marks * 4, float(again), float(n > 7 and 4 * len(set(words)) < n), float(bare.endswith(ENDS))))
     return np.array(rows, np.float64).reshape(-1, WIDTH)
 
 
@@ -75,25 +76,58 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
     return total
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max_lines: int = 64, id_col: str = "doc_id", text_col: str = "text") -> Chain | None:
+def mixed_sequences(good: list[list[bytes]], bad: list[list[bytes]], seed: int = 11) -> list[tuple[list[bytes], np.ndarray]]:
+    """Line sequences whose labels change: a block of lines of one kind of document set into one of the other kind.
+
+    Every document gives one sequence; the block, its length and its place are drawn with ``seed``.
+    """
+    rng = random.Random(seed)
+    out = []
+    for hosts, guests, label in ((good, bad, 1), (bad, good, 0)):
+        for lines in hosts:
+            guest = rng.choice(guests)
+            size = rng.randint(1, max(1, min(len(guest), len(lines))))
+            begin = rng.randint(0, len(guest) - size)
+            place = rng.randint(0, len(lines))
+            marks = np.full(len(lines) + size, label)
+            marks[place : place + size] = 1 - label
+            out.append((lines[:place] + guest[begin : begin + size] + lines[place:], marks))
+    return out
+
+
+def learn(labelled: list[tuple[list[bytes], bool]]) -> Chain | None:
+    """Fit the chain on documents given as (lines, good).
+
+    Labels are those of documents, but the chain is to label lines. Each document is seen alone and mixed with lines
+    of one of the other kind, so that labels change inside sequences. In a second round, lines of bad documents that
+    the first chain takes for content in spite of their label count as content. None unless both kinds are there.
+    """
+    good, bad = [x for x, ok in labelled if ok and x], [x for x, ok in labelled if not ok and x]
+    if not good or not bad:
+        return None
+    mixed = [(line_features(x), y) for x, y in mixed_sequences(good, bad)]
+    own = [(line_features(x), np.ones(len(x), np.int64)) for x in good]
+    doubtful = [(line_features(x), np.zeros(len(x), np.int64)) for x in bad]
+    chain = fit(mixed + own + doubtful, settled=1e-3)
+    found = chain.viterbi(np.concatenate([x for x, _ in doubtful]), np.array([len(x) for x, _ in doubtful]))
+    cuts = np.cumsum([len(x) for x, _ in doubtful])[:-1]
+    return fit(mixed + own + [(x, y.astype(np.int64)) for (x, _), y in zip(doubtful, np.split(found, cuts))])
+
+
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, max_lines: int = 64, max_chars: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Chain | None:
     """Fit the line chain on a bounded sample of labelled documents.
 
-    At most ``max_docs`` labelled documents (the first by hash of their id) and ``max_lines`` lines of each are
-    used, for fitting only. Lines of documents labelled as of good quality count as content, lines of others as
-    boilerplate. None where no usable labels exist.
+    At most ``max_docs`` labelled documents (the first by hash of their id), the first ``max_lines`` lines of each and
+    the first ``max_chars`` characters of a line are used, for fitting only; ``learn`` tells how. Documents with a
+    null id, text or quality are left out; of repeated rows ``2 * max_docs`` are used at most. None where usable labels
+    of one kind are missing.
     """
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_docs)
     head = F.slice(F.split(F.col(text_col), "\n"), 1, max_lines)
-    pairs = docs.select(F.col(id_col).alias("doc_id"), F.transform(head, lambda s: F.substring(s, 1, 2000)).alias("lines")).join(F.broadcast(chosen), "doc_id")
+    pairs = docs.select(F.col(id_col).alias("doc_id"), F.transform(head, lambda s: F.substring(s, 1, max_chars)).alias("lines")).join(F.broadcast(chosen), "doc_id")
     rows = pairs.select("doc_id", "quality", "lines").limit(2 * max_docs).collect()
     rows = sorted((r for r in rows if r.lines), key=lambda r: (r.doc_id, r.quality, r.lines))
-    sequences = []
-    for r in rows:
-        lines = [s.encode() for s in r.lines]
-        sequences.append((line_features(lines), np.full(len(lines), int(r.quality > 0))))
-    if len({int(y[0]) for _, y in sequences}) < 2:
-        return None
-    return fit(sequences)
+    return learn([([s.encode() for s in r.lines], r.quality > 0) for r in rows])
 
 
 def quality_rules(docs: DataFrame, chain: Chain | None, min_words: int = 10, max_repeat_percent: int = 20, min_content: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,5 +193,6 @@ def content_shares(texts: list[bytes | None], chain: Chain | None) -> np.ndarray
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the chain's verdict of every document; odd rows as in ``quality_rules``."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return quality_rules(docs, train(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality")))

@@ -78,6 +78,62 @@ def test_trained_chain_tells_junk_from_prose(spark):
     assert quality.train(docs, labels.limit(0)) is None
 
 
+def lines_of(rng, kind, n):
+    word = lambda: "".join(rng.choice("aeiounrstlm") for _ in range(rng.randint(2, 8)))
+    make = {
+        "prose": lambda: " ".join(word() for _ in range(rng.randint(6, 25))).capitalize() + ".",
+        "menu": lambda: " | ".join(word() for _ in range(rng.randint(3, 12))),
+        "shout": lambda: " ".join(word().upper() + "!!" for _ in range(rng.randint(3, 12))),
+    }
+    return [make[kind]().encode() for _ in range(n)]
+
+
+def test_held_out_lines_and_documents():
+    """The chain labels lines: in documents of both kinds of lines, which no training document is, it finds the borders."""
+    rng = random.Random(8)
+    labelled = [(lines_of(rng, "prose", rng.randint(1, 9)), True) for _ in range(120)] + [(lines_of(rng, rng.choice(["menu", "shout"]), rng.randint(1, 9)), False) for _ in range(60)]
+    chain = quality.learn(labelled)
+    right = total = 0
+    shares = []
+    for _ in range(200):
+        parts = [(k, rng.randint(1, 6)) for k in rng.sample(["prose", rng.choice(["menu", "shout"])], 2)]
+        lines = [x for k, n in parts for x in lines_of(rng, k, n)]
+        truth = np.array([k == "prose" for k, n in parts for _ in range(n)])
+        got = chain.viterbi(quality.line_features(lines), np.array([len(lines)]))
+        right += int((got == truth).sum())
+        total += len(lines)
+        shares.append(float(quality.content_shares([b"\n".join(lines)], chain)[0]))
+    assert right / total >= 0.9
+    assert sum(0.05 < s < 0.95 for s in shares) > 150  # shares are not just none or all
+    alone = [lines_of(rng, k, 6) for k in ("menu", "shout") * 50]
+    assert (quality.content_shares([b"\n".join(x) for x in alone], chain) < 0.5).mean() >= 0.9
+    fine = [lines_of(rng, "prose", 6) for _ in range(100)]
+    assert (quality.content_shares([b"\n".join(x) for x in fine], chain) >= 0.5).mean() >= 0.97
+    assert quality.learn(labelled[:120]) is None and quality.learn([]) is None
+
+
+def brute_best(chain, x):
+    paths = itertools.product(range(2), repeat=len(x))
+    s = x @ chain.emit
+    return max(paths, key=lambda p: chain.start[p[0]] + sum(s[i, p[i]] for i in range(len(x))) + sum(chain.move[a, b] for a, b in zip(p, p[1:])))
+
+
+def test_verdicts_match_brute_force(spark):
+    """``content_share`` and ``kept`` against an enumeration of all labellings."""
+    rng = random.Random(4)
+    chain = quality.learn([(lines_of(rng, "prose", 5), True) for _ in range(30)] + [(lines_of(rng, "menu", 5), False) for _ in range(30)])
+    texts = [b"\n".join(x for _ in range(rng.randint(0, 3)) for x in lines_of(rng, rng.choice(["prose", "menu", "shout"]), rng.randint(1, 3))).decode() for _ in range(80)] + [None, "", "\n\n", "x"]
+    got = {r.doc_id: (r.content_share, r.kept) for r in quality.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chain).collect()}
+    for i, t in enumerate(texts):
+        lines = (t or "").encode().split(b"\n")
+        path = brute_best(chain, quality.line_features(lines))
+        sizes = [len(re.sub(rb"[\x20\x09-\x0d]", b"", x)) for x in lines]
+        share = sum(s for s, m in zip(sizes, path) if m) / sum(sizes) if sum(sizes) else 0
+        n, _, _, _, rep = brute(t)
+        assert abs(got[i][0] - share) < 1e-12
+        assert got[i][1] == (n >= 10 and 100 * rep <= 20 * n and share >= 0.5)
+
+
 def test_empty(empty):
     assert quality.quality_rules(empty, None).count() == 0
     assert quality.keep_good(empty, None).count() == 0
