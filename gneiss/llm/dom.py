@@ -14,10 +14,10 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""([^\s"'/=>][^\s"'/=>]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)?+)?+|"[^"]*+"|'[^']*+'""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is never text of the page.
-SKIP = frozenset("script style noscript template iframe svg math object canvas audio video head title textarea select button datalist xmp noembed noframes".split())
+SKIP = frozenset("script style noscript template iframe svg annotation annotation-xml object canvas audio video head title textarea select button datalist xmp noembed noframes".split())
 #: Content in which no tag counts until their own end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr math semantics mrow mi mo mn ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mmultiscripts mprescripts mfenced menclose mpadded mphantom mspace mstyle mtable mtr mtd".split())
 #: Open elements that a start tag closes, up to the nearest of the boundaries.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -28,24 +28,24 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-_TERM = re.compile(r"[a-z]+|[0-9]+")
 
 
 @dataclass(frozen=True)
 class Block:
-    """A leaf block: its text, the share of it inside links, and the tags and class terms of its ancestors."""
+    """A leaf block: its text, the share of it inside links, its ancestors' tags, their whole class names and ids."""
 
     text: str
     linked: float
     tags: tuple[str, ...]
     terms: frozenset[str]
+    ids: frozenset[str] = frozenset()
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
     """All visible leaf blocks of a page. Broken, empty and very deep markup is read as far as it goes."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool]] = []  # tag, class terms of it and its ancestors, inside skipped content
+    stack: list[tuple[str, frozenset[str], bool, frozenset[str]]] = []  # tag, class names of it and its ancestors, inside skipped content, ids
     text: list[str] = []
     linked = links = pos = 0
 
@@ -53,14 +53,14 @@ def leaf_blocks(page: str | None) -> list[Block]:
         nonlocal linked
         words = " ".join("".join(text).split())
         if words:
-            tags = tuple(t for t, _, _ in stack if t not in INLINE)
-            out.append(Block(words, min(1.0, linked / len(words)), tags, stack[-1][1] if stack else frozenset()))
+            tags = tuple(t for t, *_ in stack if t not in INLINE)
+            out.append(Block(words, min(1.0, linked / len(words)), tags, *((stack[-1][1], stack[-1][3]) if stack else (frozenset(), frozenset()))))
         text.clear()
         linked = 0
 
     def close(upto: int) -> None:
         nonlocal links
-        for tag, _, _ in stack[upto:]:
+        for tag, *_ in stack[upto:]:
             links -= tag == "a"
         del stack[upto:]
 
@@ -87,7 +87,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 flush()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    if tag not in INLINE or all(t in INLINE for t, _, _ in stack[i + 1 :]):
+                    if tag not in INLINE or all(t in INLINE for t, *_ in stack[i + 1 :]):
                         close(i)
                     break
             continue
@@ -117,15 +117,17 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     break
                 if stack[i][0] not in INLINE:
                     break
-        terms = stack[-1][1] if stack else frozenset()
+        terms, ids = (stack[-1][1], stack[-1][3]) if stack else (frozenset(), frozenset())
         hidden = bool(stack and stack[-1][2]) or tag in SKIP
         if attrs and "=" in attrs or "hidden" in attrs.lower():
             for a in _ATTR.finditer(attrs):
                 name, value = (a.group(1) or "").lower(), (a.group(2) or "").strip("\"'").lower()
                 if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     hidden = True
-                elif name in ("class", "id", "role", "itemprop"):
-                    terms = terms | frozenset(_TERM.findall(value))
+                elif name in ("class", "role", "itemprop"):
+                    terms = terms | frozenset(value.split())
+                elif name == "id":
+                    ids = ids | frozenset(value.split())
         if attrs.endswith("/") and tag in SKIP:
             continue
         if tag in RAW:
@@ -134,6 +136,6 @@ def leaf_blocks(page: str | None) -> list[Block]:
             pos = pos or size
             continue
         links += tag == "a"
-        stack.append((tag, terms, hidden))
+        stack.append((tag, terms, hidden, ids))
     flush()
     return out
