@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -38,11 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Removes the shuffle files of a query when it ends; what a written table needed is not needed again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back: a lineage cut that survives lost executors."""
+    """Write ``df`` as Parquet below the shared folder and read it back: a lineage cut that survives lost executors.
+
+    The shuffle files of the write go when it is done, so the disk need of a job of several phases is that of one.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gneiss/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,17 +65,6 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Ask the driver's JVM to collect, so that shuffle files of finished phases are removed before the next phase.
-
-    The first round drops the plans, the second what only they held; removal itself runs in the background.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
-
-
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """``df``, after its session was told to hand at most ``rows`` rows at once to Python.
 

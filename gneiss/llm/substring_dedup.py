@@ -24,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialise, read_table, release_shuffles, shuffle_partitions, slices, small_batches
+from .common import materialise, read_table, shuffle_partitions, slices, small_batches
 
 WINDOW = 13
 CODE_BYTES = 2
@@ -370,10 +370,8 @@ def remove_repeats(docs: DataFrame, emit, schema: str, window: int = WINDOW, id_
     with_lists = lambda df: df.select("_bucket", "places", none.alias("copy_ids"), none.alias("copy_marks"))
     copies = materialise(equal_texts(plain))
     candidates = materialise(repeat_candidates(plain, copies, count, window))
-    release_shuffles(spark)
     heavy = heavy_prefixes(_sample_codes(docs, size.n, window, text_col, id_col), count)
     gone = materialise(repeats(plain, copies.union(with_lists(candidates)), heavy, count, window))
-    release_shuffles(spark)
 
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
         if not table.num_rows:

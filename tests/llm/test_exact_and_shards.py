@@ -25,7 +25,7 @@ def brute_exact(rows):
 def test_exact_dedup_matches_brute_force(odd, odd_rows, clashing, rows_of):
     want = brute_exact(odd_rows)
     assert rows_of(exact_dedup(odd)) == want
-    assert rows_of(exact_dedup(clashing, runs=5, fan_in=2)) == want
+    assert rows_of(exact_dedup(clashing, runs=5)) == want
     assert rows_of(exact_dedup(odd, runs=1)) == want
 
 
@@ -39,9 +39,14 @@ def test_exact_dedup_empty(empty):
     assert exact_dedup(empty).count() == 0
 
 
-def test_exact_dedup_runs_no_python(odd):
-    plan = exact_dedup(odd)._jdf.queryExecution().toString()
+def test_exact_dedup_merges_sorted_runs_without_python(odd):
+    plan = exact_dedup(odd, runs=32)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    assert plan.count("REPARTITION_BY_COL") == 5 and "HashAggregate" not in plan  # log2(32) rounds, each sorted and merged
+
+
+def test_exact_dedup_result_does_not_depend_on_runs(odd, rows_of):
+    assert rows_of(exact_dedup(odd, runs=2)) == rows_of(exact_dedup(odd.repartition(7), runs=64))
 
 
 def test_shards_match_the_mixture(odd, odd_rows, clashing):
