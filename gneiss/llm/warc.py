@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import gzip
 import io
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -15,6 +17,8 @@ from .common import read_table
 
 #: Query parameters that do not select content.
 TRACKING = r"^(utm_[a-z]+|ref|gclid|fbclid|sessionid)(=|$)"
+#: Longer header lines are read in parts.
+LINE = 1 << 16
 #: Header fields that a 304 response may update (RFC 9110, 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 
@@ -37,32 +41,38 @@ def weak_etag(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
-def resolve_revisits(captures: DataFrame, slices: int = 64) -> DataFrame:
+def resolve_revisits(captures: DataFrame, slices: int | None = None, full: tuple[int, ...] = (200,)) -> DataFrame:
     """For every revisit capture, the latest earlier full response of its canonical URL.
 
-    ``captures``: ``record_id long, url string, ts long, kind string ('response' or 'revisit'), etag string,
-    last_modified string, payload_digest string, headers map<string,string>`` (names in lower case).
+    ``captures``: ``record_id long, url string, ts long, kind string ('response' or 'revisit'), status int, profile
+    string, etag string, last_modified string, payload_digest string, headers map<string,string>`` (names in lower
+    case). A full response has one of the statuses ``full``; others (errors, parts, null) are never resolved to. A
+    revisit is a not-modified one if its profile is null or names ``server-not-modified``.
     Results, one row per revisit: ``record_id, url, canonical, ts, status, response_id, payload_digest, headers``.
     ``status`` is ``resolved`` (the entity tags agree in the weak comparison or, without a tag, the dates of
-    last modification), ``unverified`` (the revisit carries no validator), ``mismatch`` or ``missing`` (no
-    earlier response, null url or null time); the last two have null results and their own headers. Headers of the
-    others are the response's, with the permitted fields of the revisit laid over them.
+    last modification), ``unverified`` (the revisit carries no validator), ``mismatch``, ``missing`` (no
+    earlier full response, null url or null time) or ``other_profile``; the last three have null results and their own
+    headers. Headers of the others are the response's, with the permitted fields of the revisit laid over them.
 
     Earlier means a smaller (ts, record_id). The as-of join runs in two steps so that one URL may hold a third of
-    all captures: time is cut into ``slices`` by quantiles, each (URL, slice) finds its own latest response, and
-    revisits before the first response of their slice take the last one of the earlier slices, of which there is
-    one row per URL and slice. Captures of other kinds are ignored, as are other columns; repeated records are
-    answered each; only the narrow columns named above are moved.
+    all captures: time is cut into ``slices`` by quantiles (by default one for a million captures, 64 to 4096), each
+    (URL, slice) finds its own latest response, and revisits before the first response of their slice take the last
+    one of the earlier slices, of which there is one row per URL and slice. Captures of other kinds are ignored, as
+    are other columns; repeated records are answered each; an empty table gives an empty result; only the narrow
+    columns named above are moved.
     """
     known = captures.where(F.col("kind").isin("response", "revisit")).withColumn("canonical", canonical_url(F.col("url")))
     usable = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
-    cuts = known.agg(F.percentile_approx("ts", [i / slices for i in range(1, slices)], 1000).alias("q")).first().q if slices > 1 else None
+    if slices is None:
+        slices = min(4096, max(64, -(-known.count() // 1_000_000)))
+    cuts = known.agg(F.percentile_approx("ts", [i / slices for i in range(1, slices)], max(1000, 4 * slices)).alias("q")).first().q if slices > 1 else None
     edges = F.array(*[F.lit(int(c)).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
     events = known.where(usable).withColumn("_slice", F.size(F.filter(edges, lambda e: e < F.col("ts"))))
-    full = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified", "payload_digest", "headers"))
+    whole = (F.col("kind") == "response") & F.col("status").isin(*full)
+    seen = F.when(whole, F.struct("ts", "record_id", "etag", "last_modified", "payload_digest", "headers"))
     before = Window.partitionBy("canonical", "_slice").orderBy("ts", F.col("record_id").asc_nulls_first(), F.when(F.col("kind") == "response", 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, -1)
-    near = events.withColumn("_full", F.last(full, ignorenulls=True).over(before)).where("kind = 'revisit'")
-    ends = events.where("kind = 'response'").groupBy("canonical", "_slice").agg(F.max_by(F.struct("ts", "record_id", "etag", "last_modified", "payload_digest", "headers"), F.struct("ts", "record_id")).alias("_end"))
+    near = events.withColumn("_full", F.last(seen, ignorenulls=True).over(before)).where("kind = 'revisit'")
+    ends = events.where(whole).groupBy("canonical", "_slice").agg(F.max_by(F.struct("ts", "record_id", "etag", "last_modified", "payload_digest", "headers"), F.struct("ts", "record_id")).alias("_end"))
     marks = ends.unionByName(events.where("kind = 'revisit'").select("canonical", "_slice").distinct().withColumn("_end", F.lit(None).cast(ends.schema["_end"].dataType)))
     marks = marks.groupBy("canonical", "_slice").agg(F.first("_end", ignorenulls=True).alias("_end"))
     carried = marks.withColumn("_carried", F.last("_end", ignorenulls=True).over(Window.partitionBy("canonical").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
@@ -71,7 +81,8 @@ def resolve_revisits(captures: DataFrame, slices: int = 64) -> DataFrame:
     found = found.unionByName(lost, allowMissingColumns=True)
     tag, date = F.col("etag").isNotNull(), F.col("last_modified").isNotNull()
     agrees = F.when(tag, weak_etag(F.col("etag")).eqNullSafe(weak_etag(F.col("_r.etag")))).otherwise(F.col("last_modified").eqNullSafe(F.col("_r.last_modified")))
-    status = F.when(F.col("_r").isNull(), "missing").when(~tag & ~date, "unverified").when(agrees, "resolved").otherwise("mismatch")
+    other = ~F.coalesce(F.col("profile").contains("server-not-modified"), F.lit(True))
+    status = F.when(other, "other_profile").when(F.col("_r").isNull(), "missing").when(~tag & ~date, "unverified").when(agrees, "resolved").otherwise("mismatch")
     own = F.coalesce("headers", F.create_map().cast("map<string,string>"))
     fresh = F.map_filter(own, lambda k, v: k.isin(*PERMITTED) & v.isNotNull())
     base = F.map_filter(F.coalesce("_r.headers", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(fresh, k))
@@ -84,41 +95,63 @@ def resolve_revisits(captures: DataFrame, slices: int = 64) -> DataFrame:
     )
 
 
+class Members(io.RawIOBase):
+    """The content of a gzip file, member by member and in bounded steps; it ends at the first broken member."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.at, self.member, self.out = raw, 0, None, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.out:
+            if self.member is None:
+                if self.raw[self.at : self.at + 2] != b"\x1f\x8b":
+                    return 0
+                self.member = zlib.decompressobj(31)
+            piece = self.member.unconsumed_tail
+            if not piece:
+                piece = self.raw[self.at : self.at + LINE]
+                self.at += len(piece)
+            try:
+                self.out = self.member.decompress(piece, LINE)
+            except zlib.error:
+                self.at, self.member = len(self.raw), None
+                return 0
+            if self.member.eof:
+                self.at -= len(self.member.unused_data)
+                self.member = None
+            elif not piece and not self.out:
+                return 0
+        n = min(len(buffer), len(self.out))
+        buffer[:n], self.out = self.out[:n], self.out[n:]
+        return n
+
+
 def parse_warc(raw: bytes) -> Iterator[dict]:
-    """The records of a WARC file, plain or gzipped by record; a truncated last record is left out."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gunzip_members(raw)
-    stream = io.BytesIO(raw)
-    while True:
-        line = stream.readline()
-        if not line:
-            return
+    """The records of a WARC file, plain or gzipped by record, one after another: gzip members are opened one at a time.
+
+    A record without a length, or with one that is no number or negative, is left out and reading goes on at the next
+    line that starts a record. A truncated last record and what follows a broken gzip member are left out.
+    """
+    stream = io.BufferedReader(Members(raw) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw))
+    while line := stream.readline(LINE):
         if not line.startswith(b"WARC/"):
             continue
         fields: dict[str, str] = {}
-        while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+        while (line := stream.readline(LINE)) not in (b"\r\n", b"\n", b""):
             name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
-        size = int(fields.get("content-length", "0") or 0)
-        block = stream.read(size)
-        if len(block) < size:
+        size = fields.get("content-length", "")
+        if not (size.isascii() and size.isdigit()):
+            continue
+        block = stream.read(int(size))
+        if len(block) < int(size):
             return
         yield {"fields": fields, "block": block}
 
 
-def gunzip_members(raw: bytes) -> bytes:
-    """All members of a gzip file; what follows a broken member is left out."""
-    out, rest = [], raw
-    while rest[:2] == b"\x1f\x8b":
-        one = zlib.decompressobj(31)
-        try:
-            out.append(one.decompress(rest))
-        except zlib.error:
-            break
-        rest = one.unused_data
-    return b"".join(out)
-
-
 def write_warc(records: list[dict], compress: bool = True) -> bytes:
     """The file for ``parse_warc``: records as (fields, block), each its own gzip member if compressed."""
     out = []
@@ -141,36 +174,42 @@ def split_http(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
     return int(words[1]) if len(words) > 1 and words[1].isdigit() else None, fields, body
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, batch_bytes: int = 16_000_000) -> DataFrame:
     """Captures of all WARC files below ``path``, in the form that ``resolve_revisits`` takes, and their ``body``.
 
-    Files are read by Spark's binaryFile source, one file per row, so a file must fit into a worker's memory.
-    Records other than response and revisit are left out; ``record_id`` is a hash of the WARC-Record-ID.
+    Files are read by Spark's binaryFile source, one compressed file per row, so a file must fit into a worker's
+    memory as it is stored; its records are decompressed one at a time and handed on in batches of about ``batch_bytes``.
+    Records other than response and revisit are left out; ``record_id`` is a hash of the WARC-Record-ID; a date
+    that cannot be read is null. Malformed records: as in ``parse_warc``; empty files give nothing.
     """
-    schema = "record_id long, url string, ts long, kind string, status int, etag string, last_modified string, payload_digest string, headers map<string,string>, body binary"
+    schema = "record_id long, url string, ts long, kind string, status int, profile string, etag string, last_modified string, payload_digest string, headers map<string,string>, body binary"
+    types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary())
+    names = ["record_id", "url", "ts", "kind", "status", "profile", "etag", "last_modified", "payload_digest", "headers", "body"]
 
-    def records(batches):
-        import datetime as dt
+    def row(fields: dict[str, str], block: bytes) -> tuple:
+        status, headers, body = split_http(block)
+        try:
+            ts = int(dt.datetime.fromisoformat(fields["warc-date"].replace("Z", "+00:00")).timestamp() * 1_000_000)
+        except (KeyError, ValueError):
+            ts = None
+        key = xxhash.xxh64_intdigest(fields.get("warc-record-id", "").encode()) >> 1
+        return key, fields.get("warc-target-uri"), ts, fields["warc-type"], status, fields.get("warc-profile"), headers.get("etag"), headers.get("last-modified"), fields.get("warc-payload-digest"), list(headers.items()), body
 
-        import xxhash
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=names)
 
+    def records(batches):
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                rows = []
-                for r in parse_warc(raw or b""):
-                    f = r["fields"]
-                    if f.get("warc-type") not in ("response", "revisit"):
-                        continue
-                    status, headers, body = split_http(r["block"])
-                    try:
-                        ts = int(dt.datetime.fromisoformat(f["warc-date"].replace("Z", "+00:00")).timestamp() * 1_000_000)
-                    except (KeyError, ValueError):
-                        ts = None
-                    key = xxhash.xxh64_intdigest(f.get("warc-record-id", "").encode()) >> 1
-                    rows.append((key, f.get("warc-target-uri"), ts, f["warc-type"], status, headers.get("etag"), headers.get("last-modified"), f.get("warc-payload-digest"), list(headers.items()), body))
-                types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary())
-                names = ["record_id", "url", "ts", "kind", "status", "etag", "last_modified", "payload_digest", "headers", "body"]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=names)
+            for k in range(batch.num_rows):
+                rows, held = [], 0
+                for r in parse_warc(batch.column(0)[k].as_py() or b""):
+                    if r["fields"].get("warc-type") in ("response", "revisit"):
+                        rows.append(row(r["fields"], r["block"]))
+                        held += len(r["block"])
+                    if held > batch_bytes:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+                yield batch_of(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(records, schema)
 
@@ -180,26 +219,29 @@ def crawl_log(pages: DataFrame) -> DataFrame:
 
     The full response of page p is record 2p. Record 2p + 1 is its revisit, made under another spelling of the
     address. By page number, some revisits precede their response (p mod 7 = 0), some carry an outdated tag
-    (p mod 5 = 0), only a date (p mod 5 = 1) or no validator (p mod 5 = 2).
+    (p mod 5 = 0), only a date (p mod 5 = 1) or no validator (p mod 5 = 2). Some first fetches are errors or parts
+    (p mod 11 = 0 and 1), some revisits have another profile (p mod 13 = 0). A null page number gives null ids and
+    times; repeated pages give repeated records; other columns are ignored; an empty table gives an empty log.
     """
     p = F.col("page_id")
     digest = F.md5(F.coalesce("html", F.lit("")).cast("binary"))
     date = F.concat(F.lit("day "), (p % 365).cast("string"))
     start = F.lit(1_700_000_000) + p * 60
     full = pages.select(
-        (p * 2).alias("record_id"), "url", start.alias("ts"), F.lit("response").alias("kind"), digest.alias("etag"), date.alias("last_modified"), digest.alias("payload_digest"),
+        (p * 2).alias("record_id"), "url", start.alias("ts"), F.lit("response").alias("kind"), F.when(p % 11 == 0, 404).when(p % 11 == 1, 206).otherwise(200).alias("status"), F.lit(None).cast("string").alias("profile"), digest.alias("etag"), date.alias("last_modified"), digest.alias("payload_digest"),
         F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("etag"), digest, F.lit("date"), start.cast("string"), F.lit("last-modified"), date).alias("headers"),
     )
     again = start + F.when(p % 7 == 0, F.lit(-86_400)).otherwise(F.lit(86_400))
     tag = F.when(p % 5 == 0, F.lit("outdated")).when(p % 5 >= 3, F.concat(F.lit("W/"), digest))
     revisit = pages.select(
-        (p * 2 + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"), again.alias("ts"), F.lit("revisit").alias("kind"), tag.alias("etag"), F.when(p % 5 == 1, date).alias("last_modified"), F.lit(None).cast("string").alias("payload_digest"),
+        (p * 2 + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"), again.alias("ts"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"), F.concat(F.lit("http://netpreserve.org/warc/1.1/revisit/"), F.when(p % 13 == 0, "identical-payload-digest").otherwise("server-not-modified")).alias("profile"), tag.alias("etag"), F.when(p % 5 == 1, date).alias("last_modified"), F.lit(None).cast("string").alias("payload_digest"),
         F.create_map(F.lit("date"), again.cast("string"), F.lit("cache-control"), F.lit("max-age=60"), F.lit("content-length"), F.lit("0")).alias("headers"),
     )
     return full.unionByName(revisit)
 
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of the log over all pages; odd rows as in ``crawl_log`` and ``resolve_revisits``."""
     found = resolve_revisits(crawl_log(read_table(spark, sf_dir, "pages", "page_id", "url", "html")))
     merged = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
     return found.select("record_id", "canonical", "ts", "status", "response_id", "payload_digest", merged.alias("headers"))
@@ -217,10 +259,10 @@ n AS (
   SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '')
     || CASE WHEN len(parts) > 0 THEN '?' || array_to_string(parts, '&') ELSE '' END AS canonical FROM q),
 w AS (
-  SELECT *, last_value(CASE WHEN late = 0 THEN record_id END IGNORE NULLS) OVER (PARTITION BY canonical ORDER BY ts, record_id, late ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rid FROM n),
+  SELECT *, last_value(CASE WHEN late = 0 AND page_id % 11 > 1 THEN record_id END IGNORE NULLS) OVER (PARTITION BY canonical ORDER BY ts, record_id, late ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rid FROM n),
 j AS (
   SELECT w.record_id, w.canonical, w.ts, r.record_id AS rid, r.etag AS retag, r.last_modified AS rdate, r.ts AS rts,
-    CASE WHEN r.record_id IS NULL THEN 'missing' WHEN w.etag IS NULL AND w.last_modified IS NULL THEN 'unverified'
+    CASE WHEN w.page_id % 13 = 0 THEN 'other_profile' WHEN r.record_id IS NULL THEN 'missing' WHEN w.etag IS NULL AND w.last_modified IS NULL THEN 'unverified'
       WHEN w.etag IS NOT NULL THEN CASE WHEN regexp_replace(w.etag, '^W/', '') = r.etag THEN 'resolved' ELSE 'mismatch' END
       WHEN w.last_modified = r.last_modified THEN 'resolved' ELSE 'mismatch' END AS status
   FROM w LEFT JOIN c r ON r.record_id = w.rid AND r.late = 0 WHERE w.late = 1)
