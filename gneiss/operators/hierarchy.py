@@ -1,4 +1,4 @@
-"""Paths from parent pointers: a top-down join that never enters cycles or dangling chains."""
+"""Paths from parent pointers: directories double their way up to the root; cycles and dangling chains never arrive."""
 
 from __future__ import annotations
 
@@ -12,23 +12,25 @@ MAX_DEPTH = 100
 def resolve_paths(entries: DataFrame, root: int = 2, max_depth: int = MAX_DEPTH, file: str = "file_inode", parent: str = "parent_inode", name: str = "name") -> DataFrame:
     """``inode_id, path, depth`` of every entry that hangs below ``root`` within ``max_depth`` parts.
 
-    ``entries`` has one row per file. Each level is a join of the last level with the entries on the parent, so
-    an entry is visited once; members of cycles and of dangling chains are never reached and have no path. The
-    loop ends with the first empty level. Each level is written, so a lost executor repeats one level at most.
+    ``entries`` has one row per file. Directories double their way up: a row knows the names from an ancestor down to
+    it, and in each round takes over the names of that ancestor, so a chain of n parts needs log2(n) joins. Members of
+    cycles and of dangling chains never arrive at the root and have no path. Entries then join their directory once.
+    Each round is a written table, so a lost executor repeats one round at most.
     """
-    links = entries.select(F.col(file).alias("inode_id"), F.col(parent).alias("_parent"), F.col(name).alias("_name")).where(F.col(file) != root)
-    level = written(links.where(F.col("_parent") == root).select("inode_id", F.col("_name").alias("path"), F.lit(1).alias("depth")))
-    levels = [level]
-    for depth in range(2, max_depth + 1):
-        if level.isEmpty():
+    links = written(entries.select(F.col(file).alias("inode_id"), F.col(parent).alias("_above"), F.col(name).alias("path")).where(F.col(file) != root))
+    parents = links.select(F.col("_above").alias("inode_id")).distinct()
+    state = written(links.join(parents, "inode_id", "left_semi").withColumn("depth", F.lit(1)))
+    for _ in range(max_depth.bit_length()):
+        if state.where(F.col("_above") != root).isEmpty():
             break
-        above = level.select(F.col("inode_id").alias("_above"), F.col("path").alias("_path"))
-        level = written(links.join(above, F.col("_parent") == F.col("_above")).select("inode_id", F.concat_ws("/", "_path", "_name").alias("path"), F.lit(depth).alias("depth")))
-        levels.append(level)
-    out = levels[0]
-    for own in levels[1:]:
-        out = out.union(own)
-    return out
+        upper = state.select(F.col("inode_id").alias("_own"), F.col("_above").alias("_next"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
+        climbing = state.where(F.col("_above") != root).join(upper, F.col("_above") == F.col("_own"))
+        climbed = climbing.select("inode_id", F.col("_next").alias("_above"), F.concat_ws("/", "_path", "path").alias("path"), (F.col("_depth") + F.col("depth")).alias("depth"))
+        state = written(state.where(F.col("_above") == root).unionByName(climbed.where(F.col("depth") < max_depth)))
+    folders = state.where(F.col("_above") == root).select(F.col("inode_id").alias("_own"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
+    top = links.where(F.col("_above") == root).select("inode_id", "path", F.lit(1).alias("depth"))
+    below = links.join(folders, F.col("_above") == F.col("_own")).select("inode_id", F.concat_ws("/", "_path", "path").alias("path"), (F.col("_depth") + 1).alias("depth"))
+    return top.unionByName(below.where(F.col("depth") <= max_depth))
 
 
 def resolve_paths_sql(entries: DataFrame, root: int = 2, max_depth: int = MAX_DEPTH) -> DataFrame:

@@ -106,7 +106,7 @@ def unlock(o: Options, g: geometry.Geometry) -> bytes | None:
             return None
         if o.password is None:
             raise ValueError("the image is encrypted: a password is needed")
-        key = crypto.volume_key(bag, read, g.block_size, o.password)
+        key = crypto.volume_key(bag, read, g.block_size, o.password, geometry.volume_uuid(o.image, g))
         if key is None:
             raise ValueError("the password does not open the volume")
         return key
@@ -118,7 +118,7 @@ def recover(spark: SparkSession, o: Options, run: int = 1) -> DataFrame | None:
     """Recover an image below ``o.out``; returns a row per file written, or None after a scan only."""
     o.check()
     state = os.path.join(o.out, "checkpoint")
-    g = geometry.find_geometry(o.image, o.superblock_lba)
+    g = geometry.find_geometry(o.image, o.superblock_lba, spark)
     key = unlock(o, g)
     saved = checkpoint.load_scan(spark, state, TABLES) if o.resume else None
     if o.re_extract and saved is None:

@@ -6,8 +6,9 @@ import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gneiss.functions.crypto import SECTOR, SectorCipher
 
@@ -74,74 +75,142 @@ def node_entries(raw: bytes) -> Iterator[tuple[int, int, bytes, bytes, str]]:
         yield from scan_keys(raw, base, end)
 
 
-def guess_kind(raw: bytes, own: int, key_at: int, val_at: int, val_len: int) -> int:
-    """What an entry without a type may be: small ids and the shape of a directory record or of an inode."""
-    if val_at + 16 >= len(raw) or val_len < 16 or own >= 1 << 24:
+#: Ids and parents of records whose type is lost are taken for real below this.
+SMALL = 1 << 24
+
+
+def fit(kind: int, key: bytes, val: bytes, most_id: int) -> int:
+    """How well a key and a value fit together as a record of a type: 0 if not at all, more for each sign.
+
+    ``key`` begins at the record's key and ``val`` at its value; both may go on behind it.
+    """
+    first = u64(val, 0) if len(val) >= 8 else None
+    if first is None:
         return 0
-    first = u64(raw, val_at)
-    name = u32(raw, key_at + 8) & 0x3FF if key_at + 12 <= len(raw) else 0
-    entry = u16(raw, val_at + 16) & 15 in (DIRECTORY, REGULAR) or 0 < name < 256 and key_at + 12 + name <= len(raw)
-    if first >= 1 << 24:
+    if kind in (ENTRY, SIBLING):
+        size = u32(key, 8) & 0x3FF if len(key) >= 12 else 0
+        named = 0 < size < 256 and 12 + size <= len(key)
+        typed = len(val) >= 18 and u16(val, 16) & 15 in (DIRECTORY, REGULAR)
+        return (2 * named + typed) if 0 < first < most_id else 0
+    if kind == INODE:
+        shaped = len(val) >= 82 and u16(val, 80) & 0o170000 in (0o100000, 0o040000, 0o120000)
+        return (1 + shaped) if first < most_id else 0
+    length = first & (1 << 56) - 1
+    return 0 if length == (1 << 56) - 1 else 1 + (0 < length < 1 << 48 and length % SECTOR == 0)
+
+
+def guess_kind(raw: bytes, own: int, key_at: int, val_at: int, val_len: int) -> int:
+    """What an entry without a type is: the type that it fits best, a directory record before an inode; 0 for neither."""
+    if own >= SMALL or val_len < 16 or val_at + 16 >= len(raw):
         return 0
-    return ENTRY if entry and first > 0 else INODE
+    key, val = raw[key_at:], raw[val_at:]
+    if fit(ENTRY, key, val, SMALL):
+        return ENTRY
+    return INODE if fit(INODE, key, val, SMALL) else 0
 
 
 def scan_keys(raw: bytes, base: int, end: int) -> Iterator[tuple[int, int, bytes, bytes, str]]:
-    """Records of a node whose table is damaged: typed keys every 8 bytes, values tried from the end backwards."""
-    size = len(raw)
-    stop = min(end - TAIL if end > TAIL else base + TAIL, size - 8)
-    for key_at in range(base, stop, 8):
-        head = u64(raw, key_at)
-        kind, own = head >> 60, head & (1 << 60) - 1
-        if kind not in (ENTRY, SIBLING, INODE, EXTENT):
+    """Records of a node whose table is damaged, each key with the value that fits it best.
+
+    Every aligned word of the key area with a known type is a key, every sixteenth byte of the last TAIL bytes before
+    ``end`` may begin a value. Of values that fit equally well, the one nearest to the end is taken.
+    """
+    last = end - TAIL if end > TAIL else base + TAIL
+    words = np.frombuffer(raw, "<u8", max(0, (min(last, len(raw) - 8) - base + 7) // 8), base)
+    kinds = words >> np.uint64(60)
+    values = [raw[end - back :] for back in range(16, min(TAIL, end - base), 16)]
+    for i in np.flatnonzero(np.isin(kinds, (ENTRY, SIBLING, INODE, EXTENT))).tolist():
+        kind, key_at = int(kinds[i]), base + 8 * i
+        room = end - key_at  # a value lies behind its key
+        scores = [fit(kind, raw[key_at:], v, 1 << 32) if 16 * (k + 1) < room else 0 for k, v in enumerate(values)]
+        best = max(scores, default=0)
+        if best < (2 if kind in (ENTRY, SIBLING) else 1):  # without a name there is no directory record
             continue
-        for back in range(16, min(TAIL, end - base), 16):
-            val_at = end - back
-            if val_at <= key_at or val_at + 8 > size:
-                continue
-            first = u64(raw, val_at)
-            if kind in (ENTRY, SIBLING):
-                name = u32(raw, key_at + 8) & 0x3FF
-                if 0 < first < 1 << 32 and 0 < name < 256 and key_at + 12 + name <= size:
-                    yield kind, own, raw[key_at : key_at + 12 + name], raw[val_at : val_at + 18], "partial"
-                    break
-            elif kind == INODE and first < 1 << 32:
-                yield kind, own, raw[key_at : key_at + 8], raw[val_at:], "partial"
-                break
-            elif kind == EXTENT and first & (1 << 56) - 1 < (1 << 56) - 1:
-                yield kind, own, raw[key_at : key_at + 16], raw[val_at : val_at + 16], "partial"
-                break
-
-
-def pick_node(raw: bytes, cipher: SectorCipher | None, sector: int) -> tuple[bytes, str] | None:
-    """The form in which a block is a leaf: as it is, decrypted, or as it is under the lenient test."""
-    if looks_strict(raw):
-        return (raw, "strict") if node_header(raw).leaf else None if cipher is None else _decrypted(raw, cipher, sector)
-    if cipher is not None and (found := _decrypted(raw, cipher, sector)):
-        return found
-    return (raw, "lenient") if looks_partial(raw) and node_header(raw).leaf else None
-
-
-def _decrypted(raw: bytes, cipher: SectorCipher, sector: int) -> tuple[bytes, str] | None:
-    plain = cipher.decrypt(raw, sector)
-    return (plain, "decrypted") if looks_strict(plain) and node_header(plain).leaf else None
+        val, key = values[scores.index(best)], raw[key_at : key_at + 16]
+        if kind in (ENTRY, SIBLING):
+            key, val = raw[key_at : key_at + 12 + (u32(raw, key_at + 8) & 0x3FF)], val[:18]
+        elif kind == EXTENT:
+            val = val[:16]
+        yield kind, int(words[i]) & (1 << 60) - 1, key[:8] if kind == INODE else key, val, "partial"
+
+
+def block_rows(column: pa.Array, size: int) -> np.ndarray:
+    """The blocks of a column as rows of bytes; a block of another size is an error."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    if (np.diff(offsets) != size).any():
+        raise ValueError("blocks of different sizes")
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, size) if len(column) else np.zeros((0, size), np.uint8)
+
+
+def header_fields(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """flags, level, number of keys, table space of each block."""
+    head = np.ascontiguousarray(rows[:, 32:44])
+    return head[:, 0:2].copy().view("<u2")[:, 0], head[:, 2:4].copy().view("<u2")[:, 0], head[:, 4:8].copy().view("<u4")[:, 0], head[:, 10:12].copy().view("<u2")[:, 0]
+
+
+def strict_rows(rows: np.ndarray) -> np.ndarray:
+    """``looks_strict`` of many blocks at once."""
+    flags, level, keys, _ = header_fields(rows)
+    return ((flags & 7) > 0) & (level <= 15) & (keys >= 1) & (keys <= 500)
+
+
+def leaf_rows(rows: np.ndarray) -> np.ndarray:
+    return (header_fields(rows)[0] & LEAF) > 0
+
+
+def lenient_rows(rows: np.ndarray) -> np.ndarray:
+    """``looks_partial`` of many blocks at once: headers first, key areas of what is left."""
+    flags, level, keys, table = header_fields(rows)
+    able = ((flags & 7) > 0) & (level <= 15) & (keys <= 500) & (table <= 4000)
+    for k in np.flatnonzero(able).tolist():
+        able[k] = looks_partial(rows[k].tobytes())
+    return able
+
+
+def picked_leaves(rows: np.ndarray, sectors: np.ndarray, cipher: SectorCipher | None) -> Iterator[tuple[int, bytes]]:
+    """The blocks that are leaves, as (row, bytes): as they are, decrypted, or as they are under the lenient test."""
+    strict = strict_rows(rows)
+    as_is = strict & leaf_rows(rows)
+    rest = ~strict if cipher is None else ~as_is
+    opened: dict[int, bytes] = {}
+    if cipher is not None:
+        at = np.flatnonzero(rest)
+        plain = cipher.decrypt_blocks(rows[at], sectors[at])
+        good = strict_rows(plain) & leaf_rows(plain)
+        opened = {int(k): plain[i].tobytes() for i, k in zip(np.flatnonzero(good).tolist(), at[good].tolist())}
+    able = ~strict & leaf_rows(rows)
+    able[list(opened)] = False
+    able[able] = lenient_rows(rows[able])
+    for k in range(len(rows)):
+        if as_is[k] or able[k]:
+            yield k, rows[k].tobytes()
+        elif k in opened:
+            yield k, opened[k]
+
+
+def pick_node(raw: bytes) -> bool:
+    """Whether a plain block is a leaf by either test."""
+    return bool(node_header(raw).leaf and (looks_strict(raw) or looks_partial(raw)))
 
 
 def decode_entries(blocks: DataFrame, block_size: int, volume_key: bytes | None = None, min_xid: int = 0) -> DataFrame:
-    """All records of all leaves with a transaction of at least ``min_xid``; other blocks give nothing."""
+    """All records of all leaves with a transaction of at least ``min_xid``; other blocks give nothing.
+
+    Headers are tested, and blocks of encrypted volumes opened, a batch at a time; only leaves are read one by one.
+    """
+    each = block_size // SECTOR
 
     def run(batches):
         cipher = SectorCipher(volume_key[:16], volume_key[16:]) if volume_key else None
         for batch in batches:
+            numbers, ok = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            whole = block_rows(batch.column(2), block_size)
+            there = np.flatnonzero(ok)
             rows: list[tuple] = []
-            for n, ok, raw in zip(*(batch.column(c).to_pylist() for c in ("block_num", "ok", "bytes"))):
-                picked = pick_node(raw, cipher, n * (block_size // SECTOR)) if ok else None
-                if picked is None:
-                    continue
-                xid = node_header(picked[0]).xid
-                if xid < min_xid:
-                    continue
-                rows += [(n, i, as_long(xid), kind, own, key, val, source) for i, (kind, own, key, val, source) in enumerate(node_entries(picked[0]))]
+            for k, raw in picked_leaves(whole[there], numbers[there] * each, cipher):
+                xid, n = node_header(raw).xid, int(numbers[there[k]])
+                if xid >= min_xid:
+                    rows += [(n, i, as_long(xid), kind, own, key, val, source) for i, (kind, own, key, val, source) in enumerate(node_entries(raw))]
             yield _batch(rows, ("block_num", "ord", "xid", "key_type", "key_id", "key", "val", "source"), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.string()))
 
     return blocks.select("block_num", "ok", "bytes").mapInArrow(run, ENTRIES)
@@ -259,24 +328,33 @@ def deleted_inodes(blocks: DataFrame, block_size: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for n, ok, raw in zip(*(batch.column(c).to_pylist() for c in ("block_num", "ok", "bytes"))):
-                if not ok or block_size < 88 or pick_node(raw, None, 0):
-                    continue
-                parent, own, kind = u64(raw, 0), u64(raw, 8), u16(raw, 80) & 0o170000
-                if 0 < parent < 1 << 20 and 0 < own < 1 << 20 and kind in (0o100000, 0o040000):
-                    rows.append((n, own, raw))
-            yield _batch(rows, ("block_num", "inode_id", "bytes"), (pa.int64(), pa.int64(), pa.binary()))
-
-    return blocks.mapInArrow(run, "block_num long, inode_id long, bytes binary")
-
-
-def node_transactions(blocks: DataFrame) -> DataFrame:
-    """``block_num, xid`` of blocks that are tree nodes by their object type, with a plausible transaction."""
-
-    def run(batches):
-        for batch in batches:
-            rows = [(n, u64(raw, 16)) for n, ok, raw in zip(*(batch.column(c).to_pylist() for c in ("block_num", "ok", "bytes"))) if ok and u32(raw, 24) & 0xFFFF == 2 and 1 <= u64(raw, 16) <= 1 << 48]
-            yield _batch(rows, ("block_num", "xid"), (pa.int64(), pa.int64()))
-
-    return blocks.mapInArrow(run, "block_num long, xid long")
+            whole = block_rows(batch.column(2), block_size)
+            words = np.ascontiguousarray(whole[:, :16]).view("<u8")
+            kind = np.ascontiguousarray(whole[:, 80:82]).view("<u2")[:, 0] & 0o170000
+            fits = batch.column(1).to_numpy(zero_copy_only=False).astype(bool) & ((words > 0) & (words < 1 << 20)).all(1) & ((kind == 0o100000) | (kind == 0o040000))
+            numbers = batch.column(0).to_numpy()
+            rows = [(int(numbers[k]), int(words[k, 1]), whole[k].tobytes()) for k in np.flatnonzero(fits).tolist()]
+            yield _batch([r for r in rows if not pick_node(r[2])], ("block_num", "inode_id", "bytes"), (pa.int64(), pa.int64(), pa.binary()))
+
+    if block_size < 88:
+        return blocks.limit(0).select("block_num", F.col("block_num").alias("inode_id"), "bytes")
+    return blocks.select("block_num", "ok", "bytes").mapInArrow(run, "block_num long, inode_id long, bytes binary")
+
+
+def node_transactions(blocks: DataFrame, every: int = 1) -> DataFrame:
+    """``block_num, xid`` of blocks that are tree nodes by their object type, with a plausible transaction.
+
+    ``every``: look at every so many blocks only, an even sample of the image for advice on a cut-off.
+    """
+    chosen = blocks.where(F.col("ok") & (F.col("block_num") % every == 0))
+    found = chosen.where(_little("bytes", 24, 2) == 2).select("block_num", _little("bytes", 16, 8).alias("xid"))
+    return found.where((F.col("xid") >= 1) & (F.col("xid") <= 1 << 48))
+
+
+def _little(column: str, first: int, size: int) -> Column:
+    """A little-endian number of a binary column, by functions of the JVM."""
+    out = None
+    for k in range(size):
+        byte = F.shiftleft(F.conv(F.hex(F.substring(column, first + k + 1, 1)), 16, 10).cast("long"), 8 * k)
+        out = byte if out is None else out.bitwiseOR(byte)
+    return out

@@ -1,6 +1,8 @@
 import os
+import random
 import zlib
 
+import numpy as np
 import pytest
 from image_builder import BS, drec, extent, image, inode, leaf, superblock, xattr
 from pyspark.sql import functions as F
@@ -85,7 +87,9 @@ def test_damaged_table_is_scanned(spark, tmp_path):
     records = [drec(2, f"name{i:03d}", 100 + i) for i in range(8)]
     path = put(tmp_path, {1: leaf(records, break_table=True)})
     got = decode.decode_entries(blocks.read_blocks(spark, path), BS).collect()
-    assert got and {r.source for r in got} == {"partial"} and {r.key_type for r in got} == {9}
+    assert {r.key_type for r in got} == {9} and {r.source for r in got} <= {"partial", "guess"}
+    found = [decode.parse_entry(r.key_id, bytes(r.key), bytes(r.val)) for r in got if r.source == "partial"]
+    assert {f[2] for f in found if f} >= {f"name{i:03d}" for i in range(0, 8, 2)}
 
 
 def test_fixed_and_overlapping_entries():
@@ -108,10 +112,43 @@ def test_paths_limits(spark):
     assert a == sorted(map(tuple, hierarchy.resolve_paths_sql(short).collect())) and len(a) == 47
 
 
-def test_encrypted_image(spark, tmp_path):
-    vek, kek, salt, uuid, vol = os.urandom(32), os.urandom(32), os.urandom(16), os.urandom(16), os.urandom(16)
+def password_blob(salt, rounds, wrapped, damaged=False):
+    """A key record as nested DER: version, check value, then flags, wrapped key, rounds and salt."""
+    field = lambda tag, body: bytes((tag, len(body))) + body
+    inner = field(0x80, b"\0") + field(0x82, bytes(8)) + field(0x83, wrapped) + field(0x84, rounds) + field(0x85, salt)
+    body = field(0x80, b"\0") + field(0x81, bytes(32)) + field(0xA3, inner)
+    return b"\x30\x82" + (b"\x85\x10" if damaged else len(body).to_bytes(2, "big")) + body
+
+
+def test_key_records_are_read_by_their_structure():
+    rng = random.Random(2)
+    for i in range(3000):
+        salt, rounds, wrapped = rng.randbytes(16), rng.randint(1, 1 << 24).to_bytes(4, "big"), rng.randbytes(40)
+        if i % 3 == 0:  # what a search for tags would take for rounds or a salt
+            wrapped = wrapped[:7] + b"\x84\x01\x05\x85\x10" + wrapped[12:]
+        want = crypto.PasswordInfo(salt, int.from_bytes(rounds, "big"), wrapped)
+        assert crypto.password_infos(password_blob(salt, rounds, wrapped)) == [want]
+        assert crypto.wrapped_keys(password_blob(salt, rounds, wrapped)) == [wrapped]
+        if i % 50 == 0:
+            assert want in crypto.password_infos(password_blob(salt, rounds, wrapped, damaged=True))
+    for blob in (b"", b"\x30", b"\x30\x80", b"\x83\x28abc", bytes(100), b"\x30\x84\xff\xff\xff\xff", b"\xff" * 50):
+        assert crypto.password_infos(blob) == [] and crypto.wrapped_keys(blob) == []
+
+
+def test_volume_uuid(tmp_path):
+    volume = bytearray(BS)
+    volume[24:28], volume[264:280] = (0x80000003).to_bytes(4, "little"), bytes(range(16))
+    path = put(tmp_path, {40: bytes(volume), 50: bytes(volume)})
+    assert geometry.volume_uuid(path, geometry.Geometry()) == bytes(range(16))
+    assert geometry.volume_uuid(put(tmp_path, {20: bytes(volume)}), geometry.Geometry()) is None
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_encrypted_image(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    vek, kek, salt, uuid, vol = rng.randbytes(32), rng.randbytes(32), rng.randbytes(16), rng.randbytes(16), rng.randbytes(16)
     derived = crypto.derive_key("secret", salt, 10)
-    der = b"\x30\x82\x85\x10" + salt + b"\x84\x01\x0a" + b"\x83\x28" + crypto.wrap_key(kek, derived)
+    der = password_blob(salt, b"\x0a", crypto.wrap_key(kek, derived), damaged=seed == 1)
     entry = lambda u, tag, data: (u + tag.to_bytes(2, "little") + len(data).to_bytes(2, "little") + bytes(4) + data).ljust(24 + len(data) + 15 & ~15, b"\0")
     bag = lambda *e: (bytes(24) + (0x6B657973).to_bytes(4, "little") + bytes(6) + len(e).to_bytes(2, "little") + bytes(12) + b"".join(e)).ljust(BS, b"\0")
     per = BS // 512
@@ -121,6 +158,10 @@ def test_encrypted_image(spark, tmp_path):
     parts, text = sample()
     sealed = {n: c.encrypt(raw.ljust(BS, b"\0"), n * per) for n, raw in parts.items() if n}
     path = put(tmp_path, {0: superblock(uuid, 10), 10: lock, 11: inner, **sealed})
+    if seed:
+        got = {r.path: r.status for r in recover.recover(spark, recover.Options(path, str(tmp_path / "o"), password="secret")).collect()}
+        assert got["files/a/b.txt"] == "ok"
+        return
     with pytest.raises(ValueError, match="password is needed"):
         recover.recover(spark, recover.Options(path, str(tmp_path / "o")))
     with pytest.raises(ValueError, match="does not open"):
@@ -129,7 +170,42 @@ def test_encrypted_image(spark, tmp_path):
     assert got["files/a/b.txt"] == "ok" and open(tmp_path / "o/files/a/b.txt", "rb").read() == text
 
 
-def test_geometry(tmp_path):
+def test_node_tests():
+    good = bytearray(leaf([drec(2, "x", 5)]))
+    assert geometry.looks_strict(good)
+    for flags, ok in ((0x42, True), (0x8001, True), (0, False), (8, False), (0xFFF8, False)):
+        good[32:34] = flags.to_bytes(2, "little")
+        assert geometry.looks_strict(good) == geometry.looks_partial(good) == ok
+    rng = random.Random(3)
+    noise = [bytes(rng.randbytes(BS)) for _ in range(200)] + [b"text " * 819 + b"x", bytes(BS)]
+    rows = np.frombuffer(b"".join(noise), np.uint8).reshape(-1, BS)
+    assert decode.strict_rows(rows).tolist() == [geometry.looks_strict(b) for b in noise]
+    assert decode.lenient_rows(rows).tolist() == [geometry.looks_partial(b) for b in noise]
+    edge = bytearray(BS)
+    edge[32], edge[42:44] = 2, (4000).to_bytes(2, "little")
+    assert not geometry.looks_partial(edge)  # no room for the key area
+
+
+def test_distributed_search(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(geometry, "HEAD_BYTES", 64 * BS)
+    monkeypatch.setattr(geometry, "CHUNK_BYTES", 3 * BS + 7)
+    path = put(tmp_path, {100: superblock(blocks=5), 130: superblock(blocks=9), 150: bytes(32) + b"APSB" + bytes(20) + (8).to_bytes(8, "little")}, blocks=256)
+    assert geometry.find_geometry(path).found_by == "default"
+    g = geometry.find_geometry(path, spark=spark)
+    assert (g.partition_offset, g.found_by, g.case_sensitive) == (100 * BS, "first superblock", True)
+    assert sorted(r.start for r in geometry.magic_hits(spark, path, b"NXSB", chunk=5 * BS + 1).collect()) == [100 * BS, 130 * BS]
+
+
+def test_batches_open_like_blocks():
+    rng = random.Random(4)
+    c = crypto.SectorCipher(rng.randbytes(16), rng.randbytes(16))
+    raw = [rng.randbytes(BS) for _ in range(5)]
+    sectors = np.array([8, 800, 16, 0, 1 << 33], np.int64)
+    rows = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, BS)
+    assert [r.tobytes() for r in c.decrypt_blocks(rows, sectors, step=2)] == [c.decrypt(b, int(n)) for b, n in zip(raw, sectors)]
+
+
+def test_geometry(spark, tmp_path):
     def find(raw, **how):
         p = tmp_path / "g.img"
         p.write_bytes(raw)
@@ -152,7 +228,7 @@ def test_geometry(tmp_path):
     assert node.found_by == "tree node" and node.block_size == 4096
     assert find(b"") == geometry.Geometry() and find(bytes(10_000)).found_by == "default"
     (tmp_path / "s.img").write_bytes(plain + superblock(blocks=999))
-    assert [s["block_count"] for s in geometry.describe_superblocks(str(tmp_path / "s.img"))] == [999, 64]
+    assert [s["block_count"] for s in geometry.describe_superblocks(spark, str(tmp_path / "s.img"))] == [999, 64]
 
 
 def test_checkpoint_round_trip(spark, tmp_path):
