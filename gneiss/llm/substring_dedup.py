@@ -7,10 +7,15 @@ address that every pass can recompute:
    hashes; hash ranges answer with the addresses of windows that another bucket has as well.
 2. Trees: of equal windows of a bucket only the smallest document's are suffixes that matter outside. They go,
    as word codes, to the group of their prefix: the shortest prefix that is not too frequent. Each group sorts
-   its suffixes into a subtree, whose nodes at the window's depth are the repeats; a node's smallest document
-   keeps its words, the addresses of all others go back.
+   its suffixes into a subtree, cut at the window's depth; its internal nodes at that depth are the repeats. A node's
+   smallest document keeps its words, the addresses of all others go back. Repeats that begin one word after
+   another in a document are one longer repeat, so the covered stretches of a document are its maximal repeats.
 3. Removal: each bucket removes the words covered by windows that repeat in it or were sent back.
 
+Hash ranges and prefix groups are sized by what they hold. Where there are more than FAN of them, buckets send to
+coarse ranges first, and relays deal what many buckets sent to the fine ones; so the number of blobs grows with the
+input, not with buckets times ranges.
+
 Every window of an equal text with a larger id repeats, so such copies are settled by a digest of the text and
 take part in no pass.
 """
@@ -29,7 +34,10 @@ from .common import materialise, read_table, shuffle_partitions, slices, small_b
 WINDOW = 13
 CODE_BYTES = 2
 CHECK_BYTES = 8
-BUCKET_BYTES = 8_000_000
+#: Text in a bucket, text behind a hash range, suffixes in a prefix group: each is the work of one task at a time.
+BUCKET_BYTES, RANGE_BYTES, GROUP_SUFFIXES = 8_000_000, 12_000_000, 1_000_000
+#: Ranges that a bucket sends to directly, and entries that a relay holds before it passes them on.
+FAN, RELAY_ENTRIES = 2048, 4_000_000
 NO_ID = np.iinfo(np.int64).max
 _RANDOM = np.random.default_rng(20240229)
 _LETTER = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,6 +155,51 @@ class Bucket:
         return own[same]
 
 
+def _cuts(part: np.ndarray, parts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, begin, end) of each part in a sorted array of parts."""
+    heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(part)), bool), part[1:] != part[:-1])))
+    return list(zip(parts[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(part)]))
+
+
+def deal(part: np.ndarray, columns: list[np.ndarray], parts: int, fan: int) -> list[tuple[int, bytes]]:
+    """Rows for ``exchange`` from entries that are sorted by part: one blob per part, or per coarse range of parts."""
+    if parts <= fan:
+        return [(p, _pack(*(c[lo:hi] for c in columns))) for p, lo, hi in _cuts(part, part)]
+    coarse = part // -(-parts // fan)
+    return [(p, _pack(part[lo:hi].astype(np.uint32), *(c[lo:hi] for c in columns))) for p, lo, hi in _cuts(coarse, coarse)]
+
+
+def exchange(sent: DataFrame, parts: int, kinds: tuple[tuple[type, int], ...], fan: int) -> DataFrame:
+    """``part, sent`` as ``deal`` made them, with one part for each range; in between, relays where there are many."""
+    if parts <= fan:
+        return sent
+    most = RELAY_ENTRIES
+
+    def relay(batches):
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def flush():
+            part, *columns = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            rows = [(p, _pack(*(c[order[lo:hi]] for c in columns))) for p, lo, hi in _cuts(part, part)]
+            for a in range(0, len(rows), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows[a : a + 1000]], pa.int32()), pa.array([b for _, b in rows[a : a + 1000]], pa.binary())], names=["part", "sent"])
+
+        for batch in batches:
+            for blob in batch.column(1).to_pylist():
+                held.append(_unpack(blob, (np.uint32, 1), *kinds))
+                size += len(held[-1][0])
+                if size >= most:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
+    return sent.repartition("part").mapInArrow(relay, "part int, sent binary")
+
+
 FACTS = "_bucket int, places binary, copy_ids array<long>, copy_marks array<long>"
 
 
@@ -174,8 +227,10 @@ def equal_texts(bucketed: DataFrame, salts: int = 64) -> DataFrame:
 
 
 def repeat_candidates(bucketed: DataFrame, copies: DataFrame, parts: int, window: int) -> DataFrame:
-    """Pass 1: ``_bucket, places``, the starts of windows whose hash another bucket has too."""
+    """Pass 1: ``_bucket, places, n``, the starts of windows whose hash another bucket has too, and how many."""
+    fan = FAN
     keep = np.uint64(max(16, (parts - 1).bit_length()))  # bits dropped, so that the products below fit into 64
+    kinds = ((np.uint32, 1), (np.uint32, 1), (np.uint32, 1))
 
     def send(table: pa.Table, facts: pa.Table) -> pa.Table:
         b = Bucket(table, facts, window)
@@ -187,39 +242,36 @@ def repeat_candidates(bucketed: DataFrame, copies: DataFrame, parts: int, window
         chosen = b.sorted[single | first]
         value, at = b.value[chosen], b.at[chosen].astype(np.uint32)
         scaled = (value >> keep) * np.uint64(parts)  # sorted like value
-        part = scaled >> (np.uint64(64) - keep)
+        part = (scaled >> (np.uint64(64) - keep)).astype(np.int64)
         key = (scaled >> (np.uint64(32) - keep) if keep < 32 else scaled).astype(np.uint32)
-        cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-        rows = [(p, _pack(np.diff(key[lo:hi], prepend=np.uint32(0)), at[lo:hi])) for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if lo < hi]
-        return pa.table({"part": pa.array([p for p, _ in rows], pa.int32()), "_bucket": pa.array([bucket] * len(rows), pa.int32()), "sent": pa.array([s for _, s in rows], pa.binary())})
+        rows = deal(part, [key, at, np.full(len(at), bucket, np.uint32)], parts, fan)
+        return pa.table({"part": pa.array([p for p, _ in rows], pa.int32()), "sent": pa.array([s for _, s in rows], pa.binary())})
 
     def meet(table: pa.Table) -> pa.Table:
-        buckets = table.column("_bucket").to_pylist()
-        keys, places, sizes = [], [], []
+        keys, places, owners = [], [], []
         for blob in table.column("sent").to_pylist():
-            step, at = _unpack(blob, (np.uint32, 1), (np.uint32, 1))
-            keys.append(np.cumsum(step, dtype=np.uint32))
+            key, at, owner = _unpack(blob, *kinds)
+            keys.append(key)
             places.append(at)
-            sizes.append(len(at))
-        key, place = np.concatenate(keys), np.concatenate(places)
-        owner = np.repeat(np.arange(len(buckets)), sizes)
+            owners.append(owner)
+        key, place, owner = np.concatenate(keys), np.concatenate(places), np.concatenate(owners)
         order = np.argsort(key)
         key, owner_sorted = key[order], owner[order]
         heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         several = np.minimum.reduceat(owner_sorted, heads) != np.maximum.reduceat(owner_sorted, heads)
         hit = order[np.repeat(several, np.diff(heads, append=len(key)))]
         rows = _by_owner(owner[hit], place[hit])
-        return pa.table({"_bucket": pa.array([buckets[o] for o, _ in rows], pa.int32()), "places": pa.array([p for _, p in rows], pa.binary())})
+        return pa.table({"_bucket": pa.array([o for o, _, _ in rows], pa.int32()), "places": pa.array([p for _, p, _ in rows], pa.binary()), "n": pa.array([n for _, _, n in rows], pa.int64())})
 
-    sent = bucketed.groupBy("_bucket").cogroup(copies.groupBy("_bucket")).applyInArrow(send, "part int, _bucket int, sent binary")
-    return sent.groupBy("part").applyInArrow(meet, "_bucket int, places binary")
+    sent = bucketed.groupBy("_bucket").cogroup(copies.groupBy("_bucket")).applyInArrow(send, "part int, sent binary")
+    return exchange(sent, parts, kinds, fan).groupBy("part").applyInArrow(meet, "_bucket int, places binary, n long")
 
 
-def _by_owner(owner: np.ndarray, place: np.ndarray) -> list[tuple[int, bytes]]:
+def _by_owner(owner: np.ndarray, place: np.ndarray) -> list[tuple[int, bytes, int]]:
+    """(owner, its places packed, how many) of each owner."""
     order = np.lexsort((place, owner))
     owner, place = owner[order], place[order].astype(np.uint32)
-    heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(owner)), bool), owner[1:] != owner[:-1])))
-    return [(int(owner[lo]), _pack(np.diff(place[lo:hi], prepend=np.uint32(0)))) for lo, hi in zip(heads, [*heads[1:], len(owner)])]
+    return [(o, _pack(np.diff(place[lo:hi], prepend=np.uint32(0))), hi - lo) for o, lo, hi in _cuts(owner, owner)]
 
 
 def _places(table: pa.Table) -> np.ndarray:
@@ -259,17 +311,39 @@ def _codes(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return (words[at[:, None] + np.arange(window)] >> np.uint64(64 - 8 * CODE_BYTES)).astype(np.uint32)
 
 
+def common_prefixes(ranked: np.ndarray) -> np.ndarray:
+    """How many words each of the sorted suffixes shares with the one before it (the first: none)."""
+    n, width = ranked.shape
+    apart = (ranked[1:] != ranked[:-1]).reshape(max(0, n - 1), width // CODE_BYTES, CODE_BYTES).any(2)
+    return np.concatenate((np.zeros(min(1, n), np.int64), np.where(apart.any(1), apart.argmax(1), width // CODE_BYTES)))
+
+
+def internal_nodes(lcp: np.ndarray, least_depth: int) -> list[tuple[int, int, int]]:
+    """(begin, end, depth) of every internal node of the tree over sorted suffixes, of ``least_depth`` words or more."""
+    out, open_nodes = [], []
+    for i, depth in enumerate([*lcp.tolist()[1:], 0], 1):
+        begin = i - 1
+        while open_nodes and open_nodes[-1][1] > depth:
+            begin, own = open_nodes.pop()
+            if own >= least_depth:
+                out.append((begin, i, own))
+        if depth and not (open_nodes and open_nodes[-1][1] == depth):
+            open_nodes.append((begin, depth))
+    return out
+
+
 def deep_nodes(suffixes: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order that sorts the suffixes of a group, and where each node at full depth starts in it.
 
-    ``suffixes`` holds the words of a suffix, down to the depth that matters, as bytes. Sorted neighbours with
-    the same words down there hang below one node; their ``check`` hashes must agree as well.
+    ``suffixes`` holds the words of a suffix, down to the depth that matters, as bytes. Neighbours whose common
+    prefix has full depth hang below one node, an internal one if there are several; their ``check`` hashes must agree
+    as well, as words are known by codes only.
     """
-    whole = np.ascontiguousarray(np.concatenate((suffixes, check), axis=1))
-    order = np.lexsort(_as_words(whole)[::-1])
-    ranked = whole[order]
-    deep = (ranked[1:] == ranked[:-1]).all(1)  # the common prefix of neighbours reaches full depth
-    return order, np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), ~deep)))
+    order = np.lexsort((*_as_words(check)[::-1], *_as_words(suffixes)[::-1]))
+    deep = common_prefixes(suffixes[order]) == suffixes.shape[1] // CODE_BYTES
+    sealed = check[order]
+    deep[1:] &= (sealed[1:] == sealed[:-1]).all(1)
+    return order, np.flatnonzero(~deep)
 
 
 def _as_words(rows: np.ndarray) -> list[np.ndarray]:
@@ -279,17 +353,15 @@ def _as_words(rows: np.ndarray) -> list[np.ndarray]:
 
 
 def repeats(bucketed: DataFrame, facts: DataFrame, heavy: list[np.ndarray], groups: int, window: int) -> DataFrame:
-    """Pass 2: ``_bucket, places``, the starts of windows that a smaller document has, of this bucket or another."""
-    wide = CODE_BYTES * window
-    kinds = ((np.uint8, wide), (np.uint8, CHECK_BYTES), (np.uint32, 1), (np.uint32, 1))
-    names, types = ("part", "_bucket", "ids", "sent", "places"), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    """Pass 2: ``_bucket, places``, the starts of windows that a smaller document of another bucket has."""
+    fan, wide = FAN, CODE_BYTES * window
+    kinds = ((np.uint8, wide), (np.uint8, CHECK_BYTES), (np.int64, 1), (np.uint32, 1), (np.uint32, 1))
 
     def send(table: pa.Table, found: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
+        rows: list[tuple[int, bytes]] = []
         if table.num_rows:
             b = Bucket(table, found, window)
             b.sort_windows()
-            bucket = table.column("_bucket")[0].as_py()
             here = np.zeros(len(b.words), bool)
             here[_places(found)] = True
             hit = np.zeros(len(b.heads), bool)
@@ -301,44 +373,29 @@ def repeats(bucketed: DataFrame, facts: DataFrame, heavy: list[np.ndarray], grou
             raw = np.ascontiguousarray(codes.astype(f">u{CODE_BYTES}")).view(np.uint8).reshape(len(codes), wide)
             check = np.ascontiguousarray(b.value[own].astype(">u8")).view(np.uint8).reshape(-1, 8)
             order = np.lexsort((*_as_words(raw)[::-1], group))
-            cuts = np.searchsorted(group[order], np.arange(groups + 1))
-            for g, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
-                if lo < hi:
-                    e = order[lo:hi]
-                    ids, index = np.unique(doc[e], return_inverse=True)
-                    rows.append((g, bucket, ids.tobytes(), _pack(raw[e], check[e], index.astype(np.uint32), at[e].astype(np.uint32)), None))
-            settled = b.repeated_here()
-            rows += [(bucket % groups, bucket, None, None, p) for _, p in _by_owner(np.zeros(len(settled), np.int64), settled)]
-        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, types))})
+            owner = np.full(len(order), table.column("_bucket")[0].as_py(), np.uint32)
+            rows = deal(group[order], [raw[order], check[order], doc[order], at[order].astype(np.uint32), owner], groups, fan)
+        return pa.table({"part": pa.array([p for p, _ in rows], pa.int32()), "sent": pa.array([s for _, s in rows], pa.binary())})
 
     def grow(table: pa.Table) -> pa.Table:
-        out = [(b, p) for b, p in zip(table.column("_bucket").to_pylist(), table.column("places").to_pylist()) if p is not None]
-        buckets, raws, checks, docs, places, sizes = [], [], [], [], [], []
-        for bucket, ids, blob in zip(*(table.column(c).to_pylist() for c in ("_bucket", "ids", "sent"))):
-            if blob is None:
-                continue
-            raw, check, index, at = _unpack(blob, *kinds)
-            buckets.append(bucket)
-            raws.append(raw)
-            checks.append(check)
-            docs.append(np.frombuffer(ids, np.int64)[index])
-            places.append(at)
-            sizes.append(len(at))
-        if buckets:
-            order, heads = deep_nodes(np.concatenate(raws), np.concatenate(checks))
-            doc, place = np.concatenate(docs)[order], np.concatenate(places)[order]
-            owner = np.repeat(np.arange(len(buckets)), sizes)[order]
-            least = np.repeat(np.minimum.reduceat(doc, heads), np.diff(heads, append=len(doc)))
-            gone = doc > least
-            out += [(buckets[o], p) for o, p in _by_owner(owner[gone], place[gone])]
-        return pa.table({"_bucket": pa.array([o for o, _ in out], pa.int32()), "places": pa.array([p for _, p in out], pa.binary())})
+        raw, check, doc, place, owner = (np.concatenate(x) for x in zip(*(_unpack(blob, *kinds) for blob in table.column("sent").to_pylist())))
+        order, heads = deep_nodes(raw, check)
+        doc, place, owner = doc[order], place[order], owner[order]
+        least = np.repeat(np.minimum.reduceat(doc, heads), np.diff(heads, append=len(doc)))
+        gone = doc > least
+        out = _by_owner(owner[gone], place[gone])
+        return pa.table({"_bucket": pa.array([o for o, _, _ in out], pa.int32()), "places": pa.array([p for _, p, _ in out], pa.binary())})
+
+    sent = bucketed.groupBy("_bucket").cogroup(facts.groupBy("_bucket")).applyInArrow(send, "part int, sent binary")
+    return exchange(sent, groups, kinds, fan).groupBy("part").applyInArrow(grow, "_bucket int, places binary")
 
-    sent = bucketed.groupBy("_bucket").cogroup(facts.groupBy("_bucket")).applyInArrow(send, "part int, _bucket int, ids binary, sent binary, places binary")
-    return sent.groupBy("part").applyInArrow(grow, "_bucket int, places binary")
 
+def _sample_codes(docs: DataFrame, rows: int, window: int, text_col: str, id_col: str, groups: int, per_doc: int = 32, most: int = 1_000_000) -> np.ndarray:
+    """Word codes of windows of a sample of documents, ``per_doc`` at most of each; they only shape groups.
 
-def _sample_codes(docs: DataFrame, rows: int, window: int, text_col: str, id_col: str, max_docs: int = 2000, per_doc: int = 32) -> np.ndarray:
-    """Word codes of windows of about ``max_docs`` documents, ``per_doc`` at most of each; they only shape groups."""
+    About 2000 documents, more where there are many groups: 16 windows for each group, ``most`` windows at most.
+    """
+    max_docs = max(2000, min(16 * groups, most) // per_doc)
 
     def pick(batches):
         for batch in slices(batches):
@@ -364,21 +421,25 @@ def remove_repeats(docs: DataFrame, emit, schema: str, window: int = WINDOW, id_
     """
     spark = small_batches(docs).sparkSession
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0)).alias("b")).first()
-    count = max(shuffle_partitions(spark), -(-int(size.b) // BUCKET_BYTES))
+    least = shuffle_partitions(spark)
+    count = max(least, -(-int(size.b) // BUCKET_BYTES))
     plain = _bucketed(docs, count, id_col, text_col)
     none = F.lit(None).cast("array<long>")
     with_lists = lambda df: df.select("_bucket", "places", none.alias("copy_ids"), none.alias("copy_marks"))
     copies = materialise(equal_texts(plain))
-    candidates = materialise(repeat_candidates(plain, copies, count, window))
-    heavy = heavy_prefixes(_sample_codes(docs, size.n, window, text_col, id_col), count)
-    gone = materialise(repeats(plain, copies.union(with_lists(candidates)), heavy, count, window))
+    candidates = materialise(repeat_candidates(plain, copies, max(least, -(-int(size.b) // RANGE_BYTES)), window))
+    found = candidates.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    groups = max(least, -(-int(found) // GROUP_SUFFIXES))
+    heavy = heavy_prefixes(_sample_codes(docs, size.n, window, text_col, id_col, groups), groups)
+    gone = materialise(repeats(plain, copies.union(with_lists(candidates)), heavy, groups, window))
 
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
         if not table.num_rows:
             return emit(table, np.zeros(0, np.int64), [], [])
         b = Bucket(table, found, window)
+        b.sort_windows()
         leads = np.zeros(len(b.words) + window, np.int64)
-        starts = _places(found)
+        starts = np.union1d(_places(found), b.repeated_here())
         leads[starts] = 1
         leads[starts + window] -= 1
         stays = np.cumsum(leads)[: len(b.words)] == 0

@@ -108,6 +108,55 @@ def test_deep_nodes_are_groups_of_equal_suffixes():
     assert [sorted(x.tolist()) for x in np.split(order, heads[1:])] == [[1, 4], [0, 2], [3]]
 
 
+def repeated_texts(rng, n):
+    words = [f"w{i}" for i in range(40)]
+    passages = [[rng.choice(words) for _ in range(rng.randint(5, 30))] for _ in range(12)]
+    return [(i, " ".join(w for _ in range(rng.randint(1, 4)) for w in (rng.choice(passages) if rng.random() < 0.5 else [rng.choice(words) for _ in range(9)])), None, None, None) for i in range(n)]
+
+
+def test_relays_give_the_same_result(spark, odd, monkeypatch):
+    rows = repeated_texts(random.Random(9), 150)
+    df = spark.createDataFrame(rows, odd.schema)
+    want = sorted(((r[0], r[1] if not n else " ".join(w)) for r, (_, n, w) in zip(rows, brute_substrings(rows, 5))), key=repr)
+    for name, value in (("BUCKET_BYTES", 900), ("RANGE_BYTES", 400), ("GROUP_SUFFIXES", 10), ("FAN", 5), ("RELAY_ENTRIES", 300)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    assert sorted(((r.doc_id, r.text) for r in dedup_substrings(df, window=5).collect()), key=repr) == want
+
+
+def test_blobs_grow_with_the_input_not_with_its_square():
+    rng = np.random.default_rng(1)
+    fan = substring_dedup.FAN
+
+    def blobs(buckets):
+        part = np.sort(rng.integers(0, 3 * buckets, 500_000))  # three ranges for each bucket
+        return len(substring_dedup.deal(part, [part.astype(np.uint32)], 3 * buckets, fan))
+
+    assert blobs(300) == 900 and all(blobs(n) <= fan for n in (1_000, 30_000, 1_000_000))
+
+
+def test_internal_nodes_are_the_maximal_repeats():
+    """Nodes of the tree over all suffixes of a text against a count of all its word sequences."""
+    rng = random.Random(3)
+    for _ in range(20):
+        text = [rng.randint(0, 2) for _ in range(40)]
+        depth = 6
+        codes = np.array([[*text[i : i + depth], *[9 + i] * depth][:depth] for i in range(len(text))], np.uint16)  # ends differ
+        raw = np.ascontiguousarray(codes.astype(">u2")).view(np.uint8).reshape(len(codes), -1)
+        order = np.lexsort(substring_dedup._as_words(raw)[::-1])
+        lcp = substring_dedup.common_prefixes(raw[order])
+        got = {(tuple(codes[order[a]][:d].tolist()), b - a) for a, b, d in substring_dedup.internal_nodes(lcp, 2)}
+        want = set()
+        for d in range(2, depth + 1):  # sequences found twice or more that no one word always follows, or at full depth
+            places = {}
+            for i in range(len(text)):
+                places.setdefault(tuple(codes[i][:d].tolist()), []).append(i)
+            for seq, at in places.items():
+                if len(at) > 1 and (d == depth or len({int(codes[i][d]) for i in at}) > 1):
+                    want.add((seq, len(at)))
+        assert got == want
+    assert substring_dedup.internal_nodes(np.zeros(0, np.int64), 1) == []
+
+
 def test_substrings_empty(empty):
     assert dedup_substrings(empty).count() == 0
 
