@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import materialise, slices, small_batches
 from .components import connected_components
-from .simhash import DATA_BITS, LENGTH, LOWER, RADIUS, ROUTE, _syndrome, ball, close_pairs, fingerprint
+from .simhash import DATA_BITS, LENGTH, LOWER, RADIUS, ROUTE, _syndrome, ball, cells, close_pairs, fingerprint, grid_sizes
 
 #: The bits of the three blocks; the last one is filled up with zeros.
 BLOCKS = ((0, LENGTH), (LENGTH, LENGTH), (2 * LENGTH, 64 - 2 * LENGTH))
@@ -91,15 +91,22 @@ def own_codewords(fp: np.ndarray) -> list[np.ndarray]:
     return [word ^ patterns[starts[_syndrome(word)]] for word in block_words(fp)]
 
 
-def candidate_links(nodes: DataFrame, active: DataFrame, threshold: int, similarity: float, each: int) -> DataFrame:
+def candidate_links(nodes: DataFrame, active: DataFrame, threshold: int, similarity: float, each: int, group_rows: int = 200_000) -> DataFrame:
     """For each active node ``each`` of its candidates, the nearest ones: ``a, b``, distinct.
 
     ``nodes``: tid, fp, label, sketch; ``active``: the same and ``tested``, the nodes that were compared with it
     already. Candidates are within ``threshold`` bits, of another label, not tested and not ruled out by their
-    sketches, where both have one.
+    sketches, where both have one. An anchor with more than ``group_rows`` own rows or copies is cut into a grid.
     """
     reach = threshold // 3
 
+    def anchors_of(batch):
+        fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        for a in range(0, len(fp), 2_000):
+            yield block_anchors(fp[a : a + 2_000], reach)[1:]
+
+    lines, columns = grid_sizes(nodes.select("fp"), anchors_of, len(BLOCKS) * ROUTE, group_rows, group_rows)
+
     def deal(own: bool):
         def run(batches):
             for batch in slices(batches, 2000):
@@ -107,8 +114,10 @@ def candidate_links(nodes: DataFrame, active: DataFrame, threshold: int, similar
                 at, anchor, mine = block_anchors(fp.view(np.uint64), reach)
                 if own:
                     at, anchor = at[mine], anchor[mine]
+                row, key = cells(fp.view(np.uint64)[at], lines, columns, anchor, own)
+                at = at[row]
                 tested = batch.column(4).take(pa.array(at)) if not own else pa.nulls(len(at), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(tid[at]), pa.array(fp[at]), pa.array(label[at]), batch.column(3).take(pa.array(at)), tested], names=["key", "tid", "fp", "label", "sketch", "tested"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(tid[at]), pa.array(fp[at]), pa.array(label[at]), batch.column(3).take(pa.array(at)), tested], names=["key", "tid", "fp", "label", "sketch", "tested"])
 
         return run
 
@@ -124,7 +133,7 @@ def candidate_links(nodes: DataFrame, active: DataFrame, threshold: int, similar
             tid, fp, label = tid[order], fp[order].view(np.uint64), label[order]
             rtid, rfp, rlabel = (right.column(c).to_numpy() for c in ("tid", "fp", "label"))
             rfp = rfp.view(np.uint64)
-            block = left.column("key")[0].as_py() // ROUTE
+            block = left.column("key")[0].as_py() // (ROUTE << 32)
             codes, words = own_codewords(fp), block_words(rfp)
             rows = lambda t: np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
             known = not left.column("sketch").null_count and not right.column("sketch").null_count

@@ -135,24 +135,54 @@ def forest(own: np.ndarray, others: np.ndarray, threshold: int) -> tuple[np.ndar
     return nodes[moved], nodes[label[moved]]
 
 
+def cells(of: np.ndarray, own: np.ndarray, others: np.ndarray, anchor: np.ndarray, mine: bool, step: int = 65536) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) for each cell that a row takes part in.
+
+    The rows and the copies of an anchor meet in a grid of ``own[anchor]`` by ``others[anchor]`` cells: an own row is
+    in one line of it, a copy in one column, by the hash ``of`` it, so each pair meets in one cell and no cell is large.
+    """
+    lines, columns = (own, others)[not mine][anchor], (own, others)[mine][anchor]  # how many there are of the row's kind, how many it goes to
+    first = (of * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % lines
+    row = np.repeat(np.arange(len(anchor)), columns)
+    every = np.arange(len(row)) - np.repeat(np.cumsum(columns) - columns, columns)
+    line, column = (first[row], every) if mine else (every, first[row])
+    return row, (anchor[row] * step + line) * step + column
+
+
+def grid_sizes(rows: DataFrame, anchors_of, count: int, own_rows: int, other_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``count`` anchors, into how many parts its own rows and its copies are cut.
+
+    ``anchors_of(batch)`` yields (anchor, mine) arrays. One row for each anchor comes to the driver.
+    """
+
+    def load(batches):
+        total = np.zeros((2, count), np.int64)
+        for batch in batches:
+            for anchor, mine in anchors_of(batch):
+                total[0] += np.bincount(anchor[mine], minlength=count)
+                total[1] += np.bincount(anchor, minlength=count)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(count)), pa.array(total[0]), pa.array(total[1])], names=["anchor", "own", "others"])
+
+    own, others = np.ones(count, np.int64), np.ones(count, np.int64)
+    for r in rows.mapInArrow(load, "anchor long, own long, others long").groupBy("anchor").agg(F.sum("own").alias("own"), F.sum("others").alias("others")).collect():
+        own[r.anchor], others[r.anchor] = max(1, -(-r.own // own_rows)), max(1, -(-r.others // other_rows))
+    return own, others
+
+
 def similar_links(fps: DataFrame, threshold: int = 3, group_rows: int = 400_000) -> DataFrame:
     """Links ``u, v`` with the components of all pairs of fingerprints at most ``threshold`` bits apart.
 
     Anchors cover the folded space with radius 3; each fingerprint goes to every anchor within 3 + threshold
     bits. A pair shares the anchor of either of its ends, where the end's own row meets the other's copy. An
-    anchor with more than ``group_rows`` copies is split: copies by hash, own rows to each part.
+    anchor with more than ``group_rows`` own rows or copies is cut into a grid.
     """
-    def load(batches):
-        total = np.zeros(ROUTE, np.int64)
-        for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for a in range(0, len(fp), 4_000):
-                total += np.bincount(anchors(fp[a : a + 4_000], threshold)[1], minlength=ROUTE)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(ROUTE)), pa.array(total)], names=["anchor", "n"])
 
-    loads = np.ones(ROUTE, np.int64)  # one row per anchor comes to the driver
-    for r in fps.mapInArrow(load, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).collect():
-        loads[r.anchor] = max(1, -(-r.n // group_rows))
+    def anchors_of(batch):
+        fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        for a in range(0, len(fp), 4_000):
+            yield anchors(fp[a : a + 4_000], threshold)[1:]
+
+    own, others = grid_sizes(fps, anchors_of, ROUTE, group_rows, group_rows)
 
     def deal(batches):
         for batch in batches:
@@ -160,20 +190,16 @@ def similar_links(fps: DataFrame, threshold: int = 3, group_rows: int = 400_000)
             for a in range(0, len(whole), 2_000):
                 fp = whole[a : a + 2_000]
                 at, anchor, mine = anchors(fp, threshold)
-                parts = loads[anchor]
-                part = ((fp[at] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
-                first = at[mine]
-                many = np.repeat(np.arange(len(first)), parts[mine])
-                seq = np.arange(len(many)) - np.repeat(np.cumsum(parts[mine]) - parts[mine], parts[mine])
-                key = np.concatenate((anchor * 65536 + part, (anchor[mine])[many] * 65536 + seq))
-                out = np.concatenate((fp[at], fp[first[many]])).view(np.int64)
-                own = np.concatenate((np.zeros(len(at), bool), np.ones(len(many), bool)))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(out), pa.array(own)], names=["key", "fp", "own"])
+                copies, key = cells(fp[at], own, others, anchor, False)
+                firsts, own_key = cells(fp[at[mine]], own, others, anchor[mine], True)
+                out = np.concatenate((fp[at][copies], fp[at[mine]][firsts])).view(np.int64)
+                is_own = np.concatenate((np.zeros(len(key), bool), np.ones(len(own_key), bool)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((key, own_key))), pa.array(out), pa.array(is_own)], names=["key", "fp", "own"])
 
     def compare(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().view(np.uint64)
-        own = table.column("own").to_numpy()
-        u, v = forest(np.unique(fp[own]), np.unique(fp[~own]), threshold)
+        mine = table.column("own").to_numpy()
+        u, v = forest(np.unique(fp[mine]), np.unique(fp[~mine]), threshold)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     return fps.mapInArrow(deal, "key long, fp long, own boolean").groupBy("key").applyInArrow(compare, "u long, v long")
@@ -208,4 +234,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; odd rows as in ``simhash_components``."""
     return simhash_components(read_table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -122,3 +122,25 @@ def test_keep_first_keeps_columns(clashing, odd_rows):
     assert got.columns == clashing.columns
     ids = [r.doc_id for r in got.collect()]
     assert 5 in ids and 6 not in ids and 1 in ids and 2 not in ids  # copies of 5; nulls and blanks share fingerprint zero
+
+
+def test_cut_anchors_give_the_same_links(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    fps = np.unique(np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, 25, dtype=np.uint64)) for c in centres] + [rng.integers(0, 1 << 63, 50, dtype=np.uint64)]))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    want = {(int(a), int(b)) for i, a in enumerate(fps) for b in fps[i + 1 :] if int(a ^ b).bit_count() <= 3}
+
+    def groups(links):
+        label = {int(x): int(x) for x in fps}
+        root = lambda x: x if label[x] == x else root(label[x])
+        for u, v in links:
+            label[root(u)] = root(v)
+        out = {}
+        for x in label:
+            out.setdefault(root(x), set()).add(x)
+        return sorted(map(sorted, out.values()))
+
+    for group_rows in (3, 400_000):
+        got = [(r.u % (1 << 64), r.v % (1 << 64)) for r in simhash.similar_links(df, 3, group_rows).collect()]
+        assert groups(got) == groups(want)
