@@ -2,24 +2,57 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialise
 
+#: So many links, of both directions, are one task's work: contraction ends there, whatever the input was.
+LAST_LINKS = 400_000
+
+
+def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of the links, and the least node of the component of each."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        lo, hi = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        np.minimum.at(label, hi, lo)
+        while not np.array_equal(jump := label[label], label):
+            label = jump
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return nodes, nodes[label]
+
+
+def _last(edges: DataFrame) -> DataFrame:
+    def run(batches):
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if held:
+            node, to = roots(*(np.concatenate(x) for x in zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(to)], names=["node", "to"])
+
+    return materialise(edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, to long"))
+
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Label every node of ``links(u, v)`` so that linked nodes share a label: ``node, label``.
 
     In each round every node moves to the node of its closed neighbourhood with the least hash (a new hash each
     round; the name itself in the first, which settles stars around their least node at once), links follow their ends, and loops vanish; expected node counts fall by a constant factor, so the
-    rounds grow with the logarithm of the nodes. All rounds are joins and aggregates of written tables. Nulls
-    are no links; loops and repeated links do no harm; no links give an empty result.
+    rounds grow with the logarithm of the nodes. All rounds are joins and aggregates of written tables. Once at most
+    LAST_LINKS links are left, one task finds their components. Nodes are longs. Nulls are no links; loops and repeated links do no harm; no links give an empty result.
     """
     both = links.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     edges = materialise(both.select("u", "v").union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     moves: list[DataFrame] = []
     for r in range(max_rounds):
-        if edges.isEmpty():
+        left = edges.count()
+        if left <= LAST_LINKS:
+            if left:
+                moves.append(_last(edges))
             break
         order = F.xxhash64("v", F.lit(r)) if r else F.col("v")
         own = F.xxhash64("u", F.lit(r)) if r else F.col("u")

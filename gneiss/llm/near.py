@@ -26,6 +26,9 @@ BLOCKS = ((0, LENGTH), (LENGTH, LENGTH), (2 * LENGTH, 64 - 2 * LENGTH))
 COUNTERS = 64
 #: Counters for the frequencies of shingles, and how many of them are one row.
 BUCKET_BITS, CHUNK = 20, 4096
+#: How many of its nearest candidates by fingerprint a node is compared with, in two rounds; the search by shingles
+#: finds what they leave.
+NEAREST = (1, 8)
 #: One document of so many is counted; frequencies only choose the order of shingles, any order gives the same result.
 COUNTED = 8
 
@@ -269,10 +272,11 @@ def near_groups(docs: DataFrame, width: int = 2, threshold: int = 8, shingle: in
 
     The similarity is that of the sets of ``shingle``-word shingles (A-Z lower-cased, words cut at ASCII white
     space). Equal word sequences are one node. Pairs of nodes within ``threshold`` bits of their ``width``-word
-    SimHash are candidates first, then all pairs that share a shingle of their prefixes, which every similar pair
-    does. In rounds, every node is compared with some candidates that have another label and
-    were not compared with it yet, the nearest first and eight times as many each round, until none are left. So all
-    similar pairs take effect, but members of one group are not compared with each other again and again.
+    SimHash are candidates first, of which each node is compared with the nearest few (NEAREST). Then come all pairs
+    that share a shingle of their prefixes, which every similar pair does: in rounds, every node is compared with some
+    candidates that have another label and were not compared with it yet, the nearest first and sixteen times as many
+    each round, until none are left. So all similar pairs take effect, but members of one group are not compared with
+    each other again and again.
     Texts without words are one node. Null ids are larger than all others; repeated rows are repeated; other
     columns are ignored; an empty table gives an empty result.
     """
@@ -291,7 +295,7 @@ def near_groups(docs: DataFrame, width: int = 2, threshold: int = 8, shingle: in
     labelled = nodes.select("tid", "fp", F.col("tid").alias("label"), F.lit(None).cast("binary").alias("sketch"))
     none = F.array().cast("array<long>")
     active = labelled.withColumn("tested", none)
-    each, passed, failed, sets, labels = 1, None, None, None, None
+    passed, failed, sets, labels = None, None, None, None
 
     def verify(found: DataFrame, sets: DataFrame) -> None:
         """Compare the sets of the pairs found, and bring the links, the failures and the labels up to date."""
@@ -318,7 +322,7 @@ def near_groups(docs: DataFrame, width: int = 2, threshold: int = 8, shingle: in
         tested = failed.groupBy("a").agg(F.collect_set("b").alias("tested")).withColumnRenamed("a", "tid")
         return rows.join(tested, "tid", "left").withColumn("tested", F.coalesce("tested", none))
 
-    while True:
+    for each in NEAREST:
         found = materialise(candidate_links(labelled, active, threshold, similarity, each))
         if found.isEmpty():
             break
@@ -329,20 +333,19 @@ def near_groups(docs: DataFrame, width: int = 2, threshold: int = 8, shingle: in
         verify(found, sets)
         labelled = materialise(relabel(labelled).select("tid", "fp", "label", "sketch"))
         active = materialise(with_tested(labelled.join(ends, "tid", "left_semi")))
-        each *= 8
 
     first = materialise(prefixes(docs, shingle_counts(docs, shingle, id_col, text_col), shingle, similarity, text_col))
     token = relabel(first.select("tid", F.explode("prefix").alias("token")))
     shared = token.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     members = materialise(first.select("tid", F.explode("prefix").alias("token")).join(shared, "token", "left_semi"))
     taking = materialise(first.select("tid", "n", "sketch").join(members.select("tid").distinct(), "tid", "left_semi"))
-    each = 1
+    each, every = 4, None
     while True:
         found = materialise(prefix_links(members, with_tested(relabel(taking)), similarity, each))
         if found.isEmpty():
             break
-        every = materialise(_ends(found))
-        if each == 1:  # every node with a candidate takes part in the first round
+        begun, every = every is not None, materialise(_ends(found))
+        if not begun:  # every node with a candidate takes part in the first round
             members, taking = (materialise(x.join(every, "tid", "left_semi")) for x in (members, taking))
         ends = every
         if sets is not None:
@@ -352,7 +355,7 @@ def near_groups(docs: DataFrame, width: int = 2, threshold: int = 8, shingle: in
             more = materialise(_sets(docs, new, shingle, id_col, text_col))
             sets = more if sets is None else sets.union(more)
         verify(found, materialise(sets.join(every, "tid", "left_semi")))
-        each *= 8
+        each *= 16
     if labels is None:
         return marks.join(nodes.select("tid", "least"), "tid").select("doc_id", F.col("least").alias("component_id"))
     named = relabel(nodes.select("tid", "least"))
