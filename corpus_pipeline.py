@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
 next stage's docs. All stages but the last return the columns of documents.
+
+Nulls in any column, empty and very long texts, ties, repeated rows and empty tables are treated as the docstrings of the
+operators say: a text without words fails the quality rules; rows that repeat an id are one document; a null id comes
+before (line dedup) or after (near and substring dedup) all others. Columns beyond those of documents are dropped first.
 """
 
 from __future__ import annotations
@@ -50,6 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the whole table of documents, each on what its predecessor wrote; an empty table gives no rows."""
     docs = read_table(spark, sf_dir, "documents", *COLUMNS)
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))

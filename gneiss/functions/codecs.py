@@ -133,7 +133,10 @@ def unpack_blob(raw: bytes, late: bool = False) -> tuple[str, bytes | None]:
     if head is None:
         return "plain", raw
     codec, payload, size = head
-    out = decode(codec, payload, size if 0 < size <= MAX_OUTPUT and codec != "raw" else MAX_OUTPUT)
+    limit = size if 0 < size <= MAX_OUTPUT and codec != "raw" else MAX_OUTPUT
+    out = decode(codec, payload, limit)
+    if out and codec != "raw" and len(out) >= MAX_OUTPUT:  # it may go on: what is cut does not stand for the whole
+        return "broken", None
     return ("decoded", out) if out else ("broken", None)
 
 
@@ -156,12 +159,14 @@ def unpack_blobs(blobs: DataFrame, content: str = "content") -> DataFrame:
 def identify_blobs(blobs: DataFrame, content: str = "content", head_bytes: int = 262_144) -> DataFrame:
     """The outcome for each recovered blob: ``noise``, ``unrecoverable``, ``identified`` with an extension, or ``unknown``.
 
-    Only the first ``head_bytes`` are looked at, as a signature and text patterns stand at the start; noise is
-    judged on the whole blob. Classification runs in the JVM, Python only decodes blobs.
+    Of plain blobs the first ``head_bytes`` are classified, as a signature and text patterns stand at the start. Blobs
+    that may have a compression header are decoded from their first byte to the last, and noise is judged on the whole
+    blob, so ``content`` must be the whole of it. Classification runs in the JVM, Python only decodes blobs.
     """
     from .classify import first_class, from_text_run, is_noise
 
-    looked = blobs.withColumn("_noise", is_noise(F.col(content))).withColumn("_head", F.substring(F.col(content), 1, head_bytes))
+    packed = F.hex(F.substring(F.col(content), 1, 4)).rlike("^66706D63|^..000000")
+    looked = blobs.withColumn("_noise", is_noise(F.col(content))).withColumn("_head", F.when(packed, F.col(content)).otherwise(F.substring(F.col(content), 1, head_bytes)))
     found = unpack_blobs(looked, "_head")
     data = F.col("decoded")
     plain = F.when(F.col("how") == "plain", F.col("_head"))

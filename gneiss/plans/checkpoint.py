@@ -31,9 +31,9 @@ def load_scan(spark: SparkSession, folder: str, names: list[str]) -> tuple[dict,
     return row.asDict(), {n: spark.read.parquet(f"{folder}/{n}") for n in names}
 
 
-def append_done(folder: str, done: DataFrame, run: int) -> None:
-    """Add the ids of a run to those that are finished; a repeated run replaces its own rows."""
-    done.select("inode_id").distinct().write.mode("overwrite").parquet(f"{folder}/done/run={run}")
+def append_done(folder: str, done: DataFrame, run: int, more: bool = False) -> None:
+    """Add the ids of a run to those that are finished; a repeated run replaces its own rows, ``more`` adds to them."""
+    done.select("inode_id").distinct().write.mode("append" if more else "overwrite").parquet(f"{folder}/done/run={run}")
 
 
 def load_done(spark: SparkSession, folder: str) -> DataFrame:

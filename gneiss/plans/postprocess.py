@@ -8,9 +8,10 @@ import shutil
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gneiss.functions.classify import classify
+from gneiss.functions.classify import classify, correct_extension
 from gneiss.functions.codecs import identify_blobs, unpack_blob
-from gneiss.operators.assemble import read_extents, replace_file
+from gneiss.functions.crypto import SectorCipher
+from gneiss.operators.assemble import replace_file, stream_file
 from gneiss.sources.blocks import read_at
 
 
@@ -48,6 +49,38 @@ def apply_blob_plan(plan: DataFrame, folder: str) -> DataFrame:
     return plan.mapInArrow(run, "name string, outcome string")
 
 
+def correct_names(written_files: DataFrame, folder: str) -> DataFrame:
+    """Give files with a JPEG or PNG signature that extension: ``inode_id, path, new_path`` of those renamed.
+
+    ``written_files``: inode_id, path. A name that is taken already stays as it is. Safe to repeat.
+    """
+
+    def head(batches):
+        for batch in batches:
+            heads = []
+            for path in batch.column(1).to_pylist():
+                try:
+                    with open(os.path.join(folder, path), "rb") as f:
+                        heads.append(f.read(9))
+                except OSError:
+                    heads.append(None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary())], names=["inode_id", "path", "head"])
+
+    def rename(batches):
+        for batch in batches:
+            done = []
+            for old, new in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                a, b = os.path.join(folder, old), os.path.join(folder, new)
+                if os.path.exists(a) and not os.path.lexists(b):
+                    os.replace(a, b)
+                done.append(os.path.exists(b) and not os.path.exists(a))
+            yield batch.filter(pa.array(done, pa.bool_()))
+
+    looked = written_files.select("inode_id", "path").mapInArrow(head, "inode_id long, path string, head binary")
+    wanted = looked.select("inode_id", "path", correct_extension(F.col("path"), F.col("head")).alias("new_path")).where("new_path <> path")
+    return wanted.mapInArrow(rename, "inode_id long, path string, new_path string")
+
+
 def fragment_plan(fragments: DataFrame) -> DataFrame:
     """New names of deleted fragments by the class of their first 512 bytes; others keep theirs."""
     ext = classify(F.substring("content", 1, 512))
@@ -71,25 +104,35 @@ def decompress_in_place(folder: str, names: DataFrame) -> DataFrame:
     return names.select("name").mapInArrow(run, "name string, how string")
 
 
-def expanded_copies(rows: DataFrame, image: str, out_dir: str, block_size: int, partition_offset: int = 0) -> DataFrame:
+def expanded_copies(rows: DataFrame, image: str, out_dir: str, block_size: int, partition_offset: int = 0, volume_key: bytes | None = None) -> DataFrame:
     """For files that may be cut short, a copy with all that the extents hold: ``inode_id, path, discarded``.
 
     ``rows``: inode_id, path (of the copy), size and parts. A copy with nothing but zeros beyond the recorded size
-    is not written.
+    is not written. Copies are written extent by extent and looked at in pieces, so their size is not bounded by memory.
     """
 
+    def only_zeros(path: str, begin: int) -> bool:
+        with open(path, "rb") as f:
+            f.seek(begin)
+            while piece := f.read(1 << 24):
+                if piece.count(0) < len(piece):
+                    return False
+        return True
+
     def run(batches):
+        cipher = SectorCipher(volume_key[:16], volume_key[16:]) if volume_key else None
         fd = os.open(image, os.O_RDONLY)
         try:
             for batch in batches:
                 out = []
                 for r in batch.to_pylist():
-                    raw = read_extents(fd, [(p["logical"], p["physical"], p["length"]) for p in r["parts"]], None, block_size, partition_offset, None)
-                    empty = not any(raw[r["size"] :])
-                    if not empty:
-                        target = os.path.join(out_dir, r["path"])
-                        os.makedirs(os.path.dirname(target), exist_ok=True)
-                        replace_file(target, raw)
+                    parts = [(p["logical"], p["physical"], p["length"]) for p in r["parts"] or []]
+                    target = os.path.join(out_dir, r["path"])
+                    os.makedirs(os.path.dirname(target), exist_ok=True)
+                    stream_file(fd, parts, max((a + n for a, _, n in parts), default=0), target, block_size, partition_offset, cipher)
+                    empty = only_zeros(target, r["size"])
+                    if empty:
+                        os.remove(target)
                     out.append((r["inode_id"], r["path"], empty))
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.bool_()))], names=["inode_id", "path", "discarded"])
         finally:

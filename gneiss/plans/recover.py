@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import argparse
 import os
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gneiss.functions import crypto, scalars as X
 from gneiss.operators import assemble, hierarchy, relations as R, worklist as W
-from gneiss.sources import blocks, decode, geometry
+from gneiss.sources import blocks, decode, geometry, tree
 from gneiss.storage import written
 
-from . import checkpoint, reports
+from . import checkpoint, postprocess, reports
 
 TABLES = ["entries", "inodes", "extents", "paths"]
 
@@ -35,6 +36,9 @@ class Options:
     min_xid: int = 0
     metadata: bool = True
     compression: bool = True
+    name_orphans: bool = False
+    expand: bool = False
+    chunk_files: int = 50_000
 
     def check(self) -> None:
         if self.re_extract and (not self.resume or self.scan_only):
@@ -132,25 +136,53 @@ def recover(spark: SparkSession, o: Options, run: int = 1) -> DataFrame | None:
         return None
     done = checkpoint.load_done(spark, state) if o.resume and not o.re_extract else spark.createDataFrame([], "inode_id long")
     files = written(plan_files(tables, done, o))
-    rows = assemble.gather(files, tables["extents"])
-    results = written(assemble.write_files(rows, o.image, o.out, g.block_size, g.partition_offset, key, o.min_size, o.max_size))
-    checkpoint.append_done(state, results.where(~F.col("status").startswith("failed")), run)
+    chunks = max(1, -(-files.count() // o.chunk_files))
+    results = None
+    for k in range(chunks):  # what a chunk has written is remembered, so a stopped run goes on there
+        mine = files.where(F.pmod(F.xxhash64("inode_id"), F.lit(chunks)) == k) if chunks > 1 else files
+        rows = assemble.gather(mine, tables["extents"])
+        found = written(assemble.write_files(rows, o.image, o.out, g.block_size, g.partition_offset, key, o.min_size, o.max_size))
+        checkpoint.append_done(state, found.where(~F.col("status").startswith("failed")), run, more=k > 0)
+        results = found if results is None else results.unionByName(found)
+    good = results.where("status = 'ok'").select("inode_id", "path")
+    renamed = written(postprocess.correct_names(good.where(F.col("path").startswith("files/")), o.out))
+    if o.expand:
+        parts = tables["extents"].groupBy("inode_id").agg(F.array_sort(F.collect_list(F.struct("logical", "physical", "length"))).alias("parts"))
+        short = R.possibly_truncated(R.coverage(tables["extents"]).join(tables["inodes"].select("inode_id", "size"), "inode_id"), g.block_size).select("inode_id", "size")
+        plain = good.join(files.where(~F.col("is_compressed")).select("inode_id"), "inode_id", "left_semi")
+        copies = plain.join(short, "inode_id").join(parts, "inode_id").withColumn("path", X.suffix_before_extension(F.col("path"), "_EXPANDED"))
+        written(postprocess.expanded_copies(copies, o.image, o.out, g.block_size, g.partition_offset, key))
     if o.metadata:
-        kept = files.select("path", X.safe_mode(F.coalesce("mode", F.lit(0)), F.lit(False)).alias("safe_mode"), "mod_ns", "access_ns").join(results.where("status = 'ok'").select("path"), "path")
-        root = o.out
-
-        def restore(part) -> None:
-            assemble.restore_metadata(root, [r.asDict() for r in part])
-
-        kept.foreachPartition(restore)
+        restore_all(o.out, tables, files, good, renamed)
+    orphans = os.path.join(o.out, "orphans")
+    if o.name_orphans and os.path.isdir(orphans) and any(n.endswith(".dat") for n in os.listdir(orphans)):
+        written(postprocess.apply_blob_plan(postprocess.blob_plan(tree.read_blobs(spark, orphans)), orphans))
     if o.deleted:
         write_deleted(spark, o, g)
     moved = files.where("path <> wanted_path").select("inode_id", "wanted_path", "path")
     cut = R.possibly_truncated(R.coverage(tables["extents"]).join(tables["inodes"].select("inode_id", "size"), "inode_id"), g.block_size).select("inode_id", "size", "coverage")
-    reports.write_reports(results, os.path.join(o.out, "reports"), moved, cut)
+    folder = os.path.join(o.out, "reports")
+    reports.write_reports(results, folder, moved, cut)
+    reports.write_file_list(results.select("path", F.col("bytes_written").alias("size")), os.path.join(folder, "file_list"))
+    postprocess.error_log(results, os.path.join(folder, "errors"))
     return results
 
 
+def restore_all(root: str, tables: dict[str, DataFrame], files: DataFrame, good: DataFrame, renamed: DataFrame) -> None:
+    """Modes and valid times of written files, then of the directories above them."""
+    now = int(time.time())
+    facts = [F.when(X.valid_time(F.col(c), now), F.col(c)).alias(c) for c in ("mod_ns", "access_ns")]
+
+    def restore(part) -> None:
+        assemble.restore_metadata(root, [r.asDict() for r in part])
+
+    mode = F.coalesce("mode", F.lit(0))
+    kept = files.join(good.select("path"), "path").join(renamed.select("inode_id", "new_path"), "inode_id", "left")
+    kept.select(F.coalesce("new_path", "path").alias("path"), X.safe_mode(mode, F.lit(False)).alias("safe_mode"), *facts).foreachPartition(restore)
+    folders = tables["inodes"].where("is_dir").join(tables["paths"].select("inode_id", "path"), "inode_id")
+    folders.select(F.concat(F.lit("files/"), "path").alias("path"), X.safe_mode(mode, F.lit(True)).alias("safe_mode"), *facts).foreachPartition(restore)
+
+
 def write_deleted(spark: SparkSession, o: Options, g: geometry.Geometry) -> None:
     folder = os.path.join(o.out, "deleted")
     os.makedirs(folder, exist_ok=True)
@@ -176,7 +208,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("image")
     p.add_argument("out", nargs="?")
     p.add_argument("--password")
-    for flag in ("no-resume", "scan-only", "re-extract", "deleted", "skip-metadata", "no-compression"):
+    for flag in ("no-resume", "scan-only", "re-extract", "deleted", "skip-metadata", "no-compression", "keep-orphan-names", "no-expanded", "superblocks"):
         p.add_argument(f"--{flag}", action="store_true")
     p.add_argument("--filter-ext", default="")
     p.add_argument("--pilot")
@@ -185,9 +217,12 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("-b", "--block", type=int, default=0)
     p.add_argument("--min-xid", type=lambda s: int(s, 0), default=0)
     a, _ = p.parse_known_args(argv)
-    o = Options(a.image, a.out or f"{a.image}_recovered", a.password, not a.no_resume, a.scan_only, a.re_extract, a.deleted, [e for e in a.filter_ext.split(",") if e], a.pilot, size_argument(a.min_size), size_argument(a.max_size) or W.DEFAULT_MAX_SIZE, a.block, a.min_xid, not a.skip_metadata, not a.no_compression)
+    o = Options(a.image, a.out or f"{a.image}_recovered", a.password, not a.no_resume, a.scan_only, a.re_extract, a.deleted, [e for e in a.filter_ext.split(",") if e], a.pilot, size_argument(a.min_size), size_argument(a.max_size) or W.DEFAULT_MAX_SIZE, a.block, a.min_xid, not a.skip_metadata, not a.no_compression, not a.keep_orphan_names, not a.no_expanded)
     spark = SparkSession.builder.appName("gneiss").getOrCreate()
     try:
+        if a.superblocks:
+            geometry.superblock_table(spark, o.image).orderBy(F.desc("block_count"), "offset").show(1000, truncate=False)
+            return 0
         results = recover(spark, o)
         if results is not None:
             reports.summary(results).show(truncate=False)

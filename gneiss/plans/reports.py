@@ -27,8 +27,8 @@ def write_reports(results: DataFrame, folder: str, collisions: DataFrame | None
     os.makedirs(folder, exist_ok=True)
     parts = ["# Recovery summary\n", markdown_table(summary(results))]
     for title, df in (("Path collisions", collisions), ("Possibly truncated files", truncated)):
-        if df is not None and not df.isEmpty():
-            parts += [f"\n## {title}\n", markdown_table(df, limit)]
+        if df is not None and (n := df.count()):
+            parts += [f"\n## {title}\n", markdown_table(df.orderBy(*df.columns), limit), f"\n{n - limit} more\n" if n > limit else ""]
     _replace(f"{folder}/recovery_summary.md", "\n".join(parts))
     skipped = results.where(F.col("status").isin("below minimum size", "above maximum size", "empty orphan"))
     failed = results.where(~F.col("status").isin("ok", "link", "below minimum size", "above maximum size", "empty orphan"))

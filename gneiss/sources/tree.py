@@ -9,8 +9,8 @@ import stat
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def read_blobs(spark: SparkSession, folder: str, pattern: str = "*.dat", head_bytes: int | None = 262_144) -> DataFrame:
-    """``name, size, content`` of the files of a folder; content is the beginning only, unless ``head_bytes`` is None."""
+def read_blobs(spark: SparkSession, folder: str, pattern: str = "*.dat", head_bytes: int | None = None) -> DataFrame:
+    """``name, size, content`` of the files of a folder; content is all of it, or the first ``head_bytes``: a beginning is enough to look at, not to replace a file."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     content = F.col("content") if head_bytes is None else F.substring("content", 1, head_bytes)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), content.alias("content"))

@@ -268,3 +268,49 @@ def test_blobs_and_trees(spark, tmp_path):
 def test_command_line_errors(spark, tmp_path):
     assert recover.main([str(tmp_path / "none.img")]) == 1
     assert recover.size_argument("1.5k") == 1536 and recover.size_argument("-3") == 0 and recover.size_argument("7q") == 7
+
+
+def test_what_follows_the_writing(spark, tmp_path):
+    """Names by signature, names of orphans, times of folders, copies of files that are cut short, steps that are remembered."""
+    jpeg, stamp = b"\xff\xd8\xff\xe0" + bytes(50), 1_600_000_000 * 10**9
+    records = [
+        drec(2, "d", 16, True), inode(16, 2, DIR, mtime=stamp),
+        drec(16, "photo.txt", 17), inode(17, 16, FILE, len(jpeg)), extent(17, 0, 40, 4096),
+        drec(16, "short.bin", 18), inode(18, 16, FILE, 100), extent(18, 0, 41, 4096 * 12),
+        drec(16, "late.txt", 19), inode(19, 16, FILE, 3, mtime=9 * 10**18), extent(19, 0, 42, 4096),
+        inode(20, 99, FILE, len(jpeg)), extent(20, 0, 40, 4096),
+        inode(21, 99, FILE, 8), extent(21, 0, 56, 4096),
+    ]
+    path = put(tmp_path, {0: superblock(), 3: leaf(records, root=True), 40: jpeg, 41: b"s" * 4096, 42: b"abc" + b"t" * 4093, 56: bytes(range(1, 9))})
+    out = tmp_path / "out"
+    options = recover.Options(path, str(out), name_orphans=True, expand=True, chunk_files=2)
+    got = {r.path: r.status for r in recover.recover(spark, options).collect()}
+    assert set(got.values()) == {"ok"} and len(got) == 5
+    files = sorted(os.path.relpath(os.path.join(d, n), out) for d, _, ns in os.walk(out) for n in ns if "/reports" not in d and "/checkpoint" not in d and not n.startswith("."))
+    assert "files/d/photo.jpg" in files and "files/d/photo.txt" not in files
+    assert "orphans/file_20.jpg" in files and "orphans/unknown/file_21.dat" in files
+    (copy,) = [f for f in files if "EXPANDED" in f]
+    raw = (out / copy).read_bytes()
+    assert len(raw) == 4096 * 12 and raw[:4096] == b"s" * 4096 and (out / "files/d/short.bin").read_bytes() == b"s" * 100
+    assert int(os.stat(out / "files/d").st_mtime) == 1_600_000_000 and os.stat(out / "files/d").st_mode & 0o777 == 0o755
+    assert os.stat(out / "files/d/late.txt").st_mtime < 5 * 10**9  # a time far ahead is not restored
+    assert {r.inode_id for r in checkpoint.load_done(spark, str(out / "checkpoint")).collect()} == {17, 18, 19, 20, 21}
+    assert recover.recover(spark, options, run=2).count() == 0
+    assert "Possibly truncated" in (out / "reports/recovery_summary.md").read_text()
+
+
+def test_long_blobs_are_decoded_whole_before_anything_goes(spark, tmp_path):
+    from gneiss.plans import postprocess
+
+    text = b"".join(b"line %d of a long text that is compressed\n" % (i * 7919 % 10007) for i in range(30_000))
+    stream = b"".join(bytes((0xF0, 255)) + text[a : a + 271] if len(text) - a >= 271 else b"" for a in range(0, len(text), 271))
+    body = text[: len(text) // 271 * 271]
+    blobs = {"zero.dat": bytes(300_000) + b"data after it", "zlib.dat": b"fpmc" + (3).to_bytes(4, "little") + len(text).to_bytes(8, "little") + zlib.compress(text, 0), "lzvn.dat": b"fpmc" + (7).to_bytes(4, "little") + len(body).to_bytes(8, "little") + stream + b"\x06", "gone.dat": bytes(300_000)}
+    assert min(len(blobs["lzvn.dat"]), len(blobs["zlib.dat"])) > 262_144
+    for n, raw in blobs.items():
+        (tmp_path / n).write_bytes(raw)
+    done = {r.name: r.outcome for r in postprocess.apply_blob_plan(postprocess.blob_plan(tree.read_blobs(spark, str(tmp_path))), str(tmp_path)).collect()}
+    assert done["gone.dat"] == "noise" and done["zero.dat"] != "noise"
+    left = [(d, n) for d, _, ns in os.walk(tmp_path) for n in ns if not n.startswith(".")]
+    contents = {n.split(".")[0]: open(os.path.join(d, n), "rb").read() for d, n in left}
+    assert contents == {"zero": blobs["zero.dat"], "zlib": text, "lzvn": body}
