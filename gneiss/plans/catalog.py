@@ -304,11 +304,12 @@ def signed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def whole(spark: SparkSession, d: str) -> DataFrame:
-    """Digests of whole texts; SIGNED, their SQL, sees 65,536 bytes only, which is less."""
+    """Digests of whole texts."""
     return table(spark, d, "documents").select("doc_id", *dedup.full_signature(F.col("text").cast("binary")))
 
 
 SIGNED = "SELECT doc_id, octet_length(encode(text)) AS size, sha256(encode(text)[1:65536]) AS digest FROM documents"
+WHOLE = "SELECT doc_id, octet_length(encode(text)) AS size, sha256(text) AS digest FROM documents"
 
 
 @query(f"SELECT min(doc_id) AS doc_id, size::INT AS size, digest FROM ({SIGNED}) GROUP BY size, digest")
@@ -316,12 +317,12 @@ def content_dedup(spark, d):
     return dedup.first_of_each(signed(spark, d), ["doc_id"])
 
 
-@query(f"SELECT size::INT AS size, digest, count(*) AS copies, min(doc_id) AS kept, count(*) - 1 AS redundant FROM ({SIGNED}) GROUP BY size, digest HAVING count(*) > 1")
+@query(f"SELECT size::INT AS size, digest, count(*) AS copies, min(doc_id) AS kept, count(*) - 1 AS redundant FROM ({WHOLE}) GROUP BY size, digest HAVING count(*) > 1")
 def dup_groups(spark, d):
     return dedup.duplicate_groups(whole(spark, d), "doc_id")
 
 
-@query(f"SELECT sum(n - 1)::BIGINT AS redundant, count(*) AS n_groups FROM (SELECT count(*) AS n FROM ({SIGNED}) GROUP BY size, digest HAVING count(*) > 1)")
+@query(f"SELECT sum(n - 1)::BIGINT AS redundant, count(*) AS n_groups FROM (SELECT count(*) AS n FROM ({WHOLE}) GROUP BY size, digest HAVING count(*) > 1)")
 def dup_redundant(spark, d):
     return dedup.duplicate_groups(whole(spark, d), "doc_id").agg(F.sum("redundant").alias("redundant"), F.count(F.lit(1)).alias("n_groups"))
 
@@ -383,11 +384,14 @@ def text_run(spark, d):
     return table(spark, d, "documents").select("doc_id", C.text_run(F.expr("cast(substr(text, 3) AS binary)")).alias("at_char"))
 
 
-@query("SELECT doc_id, regexp_matches(hex(encode(CASE WHEN doc_id % 10 = 0 THEN repeat(chr(0), doc_id % 50) ELSE left(text, 3) END)), '^((00)*|(FF)*)$') AS noise FROM documents")
+@query("""SELECT doc_id, regexp_matches(hex(encode(text)), '^((00)*|(FF)*)$') AS noise FROM documents
+UNION ALL SELECT -1 - doc_id, regexp_matches(repeat('00', (doc_id % 50)::INT) || CASE WHEN doc_id % 3 = 0 THEN '41' ELSE '' END, '^((00)*|(FF)*)$') FROM documents WHERE doc_id % 10 = 0""")
 def noise_filter(spark, d):
-    zeros = F.unhex(F.repeat(F.lit("00"), F.expr("cast(doc_id % 50 AS int)")))
-    content = F.when(F.col("doc_id") % 10 == 0, zeros).otherwise(F.left("text", F.lit(3)).cast("binary"))
-    return table(spark, d, "documents").select("doc_id", C.is_noise(content).alias("noise"))
+    """The whole text of every document, and made-up blobs of zeros, some with a letter behind them."""
+    docs = table(spark, d, "documents")
+    made = F.unhex(F.concat(F.repeat(F.lit("00"), F.expr("cast(doc_id % 50 AS int)")), F.when(F.col("doc_id") % 3 == 0, "41").otherwise("")))
+    zeros = docs.where("doc_id % 10 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), C.is_noise(made).alias("noise"))
+    return docs.select("doc_id", C.is_noise(F.col("text").cast("binary")).alias("noise")).unionByName(zeros)
 
 
 @query(r"""WITH p AS (SELECT page_id, 'f' || page_id || CASE page_id % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.JPEG' WHEN 2 THEN '.txt' ELSE '' END AS name, CASE page_id % 3 WHEN 0 THEN 'jpg' WHEN 1 THEN 'png' END AS found FROM pages)
