@@ -29,6 +29,8 @@ BUCKET_BITS, CHUNK = 20, 4096
 #: How many of its nearest candidates by fingerprint a node is compared with, in two rounds; the search by shingles
 #: finds what they leave.
 NEAREST = (1, 8)
+#: Nodes of one shingle beyond so many are dealt into parts.
+PART_ROWS = 2000
 #: One document of so many is counted; frequencies only choose the order of shingles, any order gives the same result.
 COUNTED = 8
 
@@ -229,21 +231,23 @@ def prefixes(docs: DataFrame, counts: np.ndarray, shingle: int, similarity: floa
 def prefix_links(members: DataFrame, nodes: DataFrame, similarity: float, each: int) -> DataFrame:
     """For each node ``each`` of the nodes that share a shingle of ``members`` with it: ``a, b``, distinct.
 
-    ``members``: token, tid; ``nodes``: tid, n, sketch, label, tested. Pairs have different labels, were not tested
-    yet and are not ruled out by sizes or sketches; the nearest sizes come first.
+    ``members``: token, parts, tid; ``nodes``: tid, n, sketch, label, tested. Pairs have different labels, were not
+    tested yet and are not ruled out by sizes or sketches; the nearest sizes come first. The nodes of a token are
+    dealt into its number of parts, and every two parts meet in a group of their own, so no group grows with the table.
     """
 
     def compare(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 rows = batch.column(0)[k].values
-                tid, n, label = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("tid", "n", "label"))
+                tid, part, n, label = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("tid", "part", "n", "label"))
+                one = part.min() == part.max()
                 sketches = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(len(tid), -1)
                 tested = rows.field("tested")
                 hard = {x: set(tested[x].as_py()) for x in np.flatnonzero(np.array(tested.value_lengths().fill_null(0))).tolist()}
                 step = max(1, (1 << 20) // len(tid))
                 for lo in range(0, len(tid), step):
-                    j, i = np.nonzero((label[lo : lo + step, None] != label) & (np.minimum(n[lo : lo + step, None], n) >= similarity * np.maximum(n[lo : lo + step, None], n) - 1e-6))
+                    j, i = np.nonzero((one | (part[lo : lo + step, None] != part)) & (label[lo : lo + step, None] != label) & (np.minimum(n[lo : lo + step, None], n) >= similarity * np.maximum(n[lo : lo + step, None], n) - 1e-6))
                     j += lo
                     fit = may_be_similar(sketches[i], sketches[j], similarity)
                     i, j = i[fit], j[fit]
@@ -259,15 +263,16 @@ def prefix_links(members: DataFrame, nodes: DataFrame, similarity: float, each:
                     few = np.arange(len(j)) - np.repeat(head, np.diff(head, append=len(j))) < each
                     yield pa.RecordBatch.from_arrays([pa.array(tid[i[few]]), pa.array(tid[j[few]]), pa.array(d[few])], names=["a", "b", "d"])
 
-    rows = members.join(nodes, "tid").groupBy("token").agg(F.sort_array(F.collect_list(F.struct("tid", "n", "label", "sketch", "tested"))).alias("rows"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    dealt = members.join(nodes, "tid").withColumn("part", F.pmod(F.xxhash64("tid"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = dealt.groupBy("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).agg(F.sort_array(F.collect_list(F.struct("tid", "part", "n", "label", "sketch", "tested"))).alias("rows"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     # shingles with the same nodes give the same pairs
-    groups = rows.where("lo <> hi").groupBy(F.xxhash64("rows.tid").alias("h"), F.xxhash64(F.reverse("rows.tid")).alias("g")).agg(F.first("rows").alias("rows"))
+    groups = rows.where("lo <> hi").groupBy(F.xxhash64("rows.tid", "rows.part").alias("h"), F.xxhash64(F.reverse("rows.tid")).alias("g")).agg(F.first("rows").alias("rows"))
     pairs = groups.select("rows").mapInArrow(compare, "a long, b long, d long")
     few = pairs.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "a"))), 1, each).alias("best"))
     return few.select(F.explode("best.a").alias("a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, width: int = 2, threshold: int = 8, shingle: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 2, threshold: int = 8, shingle: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
     """``doc_id, component_id``: rows whose texts are linked by a similarity of ``similarity`` or more share the smallest id.
 
     The similarity is that of the sets of ``shingle``-word shingles (A-Z lower-cased, words cut at ASCII white
@@ -336,8 +341,9 @@ def near_groups(docs: DataFrame, width: int = 2, threshold: int = 8, shingle: in
 
     first = materialise(prefixes(docs, shingle_counts(docs, shingle, id_col, text_col), shingle, similarity, text_col))
     token = relabel(first.select("tid", F.explode("prefix").alias("token")))
-    shared = token.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    members = materialise(first.select("tid", F.explode("prefix").alias("token")).join(shared, "token", "left_semi"))
+    parts = F.ceil(F.count(F.lit(1)) / part_rows).alias("parts")
+    shared = token.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), parts).where("lo <> hi").select("token", "parts")
+    members = materialise(first.select("tid", F.explode("prefix").alias("token")).join(shared, "token"))
     taking = materialise(first.select("tid", "n", "sketch").join(members.select("tid").distinct(), "tid", "left_semi"))
     each, every = 4, None
     while True:

@@ -109,6 +109,27 @@ def test_one_large_group_is_not_compared_pair_by_pair(spark, odd, monkeypatch):
     assert seen[0].count() <= len(rows) and sum(x.count() for x in seen) < 0.1 * len(rows) * (len(rows) - 1) / 2
 
 
+def test_frequent_shingles_are_searched_in_parts(spark, odd, monkeypatch):
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for _ in range(60):
+        own = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+        for w in (own, own[:55], own[:40]):
+            rows.append((len(rows), " ".join(common + w), None, None, None))
+    want = brute_groups(rows)
+    assert len(set(want.values())) > 10
+    monkeypatch.setattr(near, "NEAREST", ())  # all links have to come from shared shingles
+    monkeypatch.setattr(near, "shingle_counts", lambda *a: np.zeros(1 << near.BUCKET_BITS, np.int32))  # frequent ones in the prefixes
+    sizes = []
+    real = near.prefix_links
+    monkeypatch.setattr(near, "prefix_links", lambda members, *a: sizes.append(members.agg({"parts": "max"}).first()[0]) or real(members, *a))
+    docs = spark.createDataFrame(rows, odd.schema)
+    for part_rows in (7, 100_000):
+        assert {r.doc_id: r.component_id for r in near.near_groups(docs, part_rows=part_rows).collect()} == want
+    assert max(sizes) >= len(rows) // 7 and min(sizes) == 1
+
+
 def test_blocks_cover_the_threshold():
     rng = random.Random(5)
     for _ in range(100):
